@@ -90,8 +90,11 @@ def test_substrings(spark):
 def test_substring_levels(spark):
     body = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(body)), (2, "a b " + " ".join(body) + " c"), (3, " ".join(body[:14]))], "doc_id bigint, text string")
-    got = {r.doc_id: r.longest_repeat for r in substrings.marked(docs).collect()}
-    assert got == {1: 52, 2: 52, 3: 13}
+    levels = substrings.repeat_levels(docs)
+    assert [length for length, _ in levels] == [13, 26, 52]
+    found = [{r.doc_id for r in level.select("doc_id").distinct().collect()} for _, level in levels]
+    assert found == [{1, 2, 3}, {1, 2}, {1, 2}]
+    assert sorted((r.doc_id, r.start) for r in levels[2][1].collect()) == [(1, i) for i in range(9)] + [(2, i + 2) for i in range(9)]
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -6,11 +6,12 @@ equal mass. The work runs in these steps, none of which meets all pairs of a gro
 
 1. One pass over the texts gives each document's set size and class (equal sets share a class) and bucket
    counts, which are summed block by block; the table of the order has 2**order_bits bytes at any input size.
-2. A second pass emits each set's prefix, its first n - ceil(t * n) + 1 n-grams: two sets that reach the
-   threshold t share an n-gram of both prefixes. N-grams of one class only go at once.
+2. A second pass emits each set's prefix, its first n - ceil(t * n) + k n-grams, k = min(COMMON, ceil(t * n)):
+   two sets that reach the threshold t share the lesser k of n-grams in both prefixes. N-grams of one class only
+   go at once.
 3. Each class is compared with two leaders only (of those it shares most prefix n-grams with, the one of
    least and the one of greatest class); links become components.
-4. Only pairs that share a prefix n-gram but lie in different components are then compared as well, so no
+4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
    link is lost.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.shared import components, durable, mixed, summed, texts_of, window_hashes, word_hashes
+from tidemark.llm.shared import bit_of, bit_table, components, durable, mixed, summed, texts_of, window_hashes, word_hashes
 
 BLOCK = 4096
+#: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
+COMMON = 8
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -112,7 +115,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
                     seen.clear()
                 seen.add(cls)
                 size = len(s)
-                keys.append(held.sorted(s)[: size - (percent * size + 99) // 100 + 1])
+                least = (percent * size + 99) // 100
+                keys.append(held.sorted(s)[: size - least + min(COMMON, least)])
                 classes.append(cls)
                 sizes.append(size)
             many = [len(k) for k in keys]
@@ -149,39 +153,6 @@ def segments(docs: DataFrame, n: int, order, wanted) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "cls bigint, frag int, grams array<bigint>")
 
 
-def bit_of(ids: np.ndarray, size: int) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
-
-
-def bit_table(ids: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits flags that has the bit of every id set; ids is a single column. Its size is fixed."""
-    size = 1 << bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(size, bool)
-        for batch in batches:
-            have[bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)] = True
-        blocks = have.reshape(-1, min(BLOCK * 8, size))
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(blocks[i]).tobytes() for i in used], pa.binary())], ["block", "have"])
-
-    parts = ids.mapInArrow(run, "block int, have binary")
-    whole = parts.groupBy("block").applyInArrow(united, "block int, have binary")
-    out = np.zeros((size // min(BLOCK * 8, size), min(BLOCK * 8, size)), bool)
-    for row in whole.toLocalIterator():
-        out[row.block] = np.unpackbits(np.frombuffer(row.have, np.uint8))[: out.shape[1]]
-    return out.reshape(-1)
-
-
-def united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in rows:
-        for x in batch.column("have").to_pylist():
-            part = np.frombuffer(x, np.uint8)
-            total = part if total is None else total | part
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "have"])
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs (a, na, b, nb) whose sets reach the threshold, by partial overlaps of fragments."""
     one = sets.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"))
@@ -208,17 +179,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     shared = durable(shared, "ngram-shared")
 
     known = rows.where("doc_id is not null and cls is not null")
-    ends = shared.select("cls").distinct()
-    firsts = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = spark.sparkContext.broadcast(bit_table(firsts.join(ends, "cls").select("doc_id"), bits))  # 2**bits bytes
-    sets = durable(segments(docs, n, order, wanted).join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), "ngram-segments")
+    firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ngram-firsts")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The fragments of the pairs' sets only, from the texts."""
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = spark.sparkContext.broadcast(bit_table(firsts.join(ends, "cls").select("doc_id"), bits))  # 2**bits bytes
+        return segments(docs, n, order, wanted).join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"])
 
     sizes = shared.select(F.col("cls").alias("other"), F.col("n").alias("m")).distinct()
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("cls") != F.col("other"))
+    due = F.least(F.lit(COMMON), F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100"))
 
     def leaders(side: str) -> DataFrame:
         votes = shared.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
-        return votes.groupBy("cls", "n").agg(F.max_by(F.struct("other", "m"), F.struct("count", "other")).alias("x")).select("cls", "n", "x.other", "x.m")
+        return votes.groupBy("cls", "n").agg(F.max_by(F.struct("other", "m"), F.struct("count", "other")).alias("x"), F.max("count").alias("count")).select("cls", "n", "x.other", "x.m", "count").where(F.col("count") >= due).drop("count")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         up = F.col("cls") < F.col("other")
@@ -226,17 +201,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
         return pairs.select(pick("cls", "other").alias("a"), pick("n", "m").alias("na"), pick("other", "cls").alias("b"), pick("m", "n").alias("nb")).distinct()
 
     first = durable(ordered(leaders("lo").union(leaders("hi"))), "ngram-stars")
-    links = durable(linked(first, sets, percent), "ngram-links")
+    links = durable(linked(first, sets_of(first), percent), "ngram-links")
     groups = components(links)
     placed = shared.select("key", "cls", "n").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     apart = durable(placed.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key)}).where("x <> y").select("key", "cls", "n", "component"), "ngram-apart")
     other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    rest = ordered(apart.join(other, "key").where((F.col("component") < F.col("component2")) & near).select("cls", "n", "other", "m"))
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = apart.join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(F.col("count") >= due)
+    rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
+    more = linked(rest, sets_of(rest), percent)
     # rows that repeat an id lie together
     repeated = known.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id", "lo")
     own = known.join(repeated, "doc_id").select(F.col("cls").alias("a"), F.col("lo").alias("b"))
-    links = durable(links.union(linked(rest, sets, percent)).union(own), "ngram-links")
+    links = durable(links.union(more).union(own), "ngram-links")
 
     # from classes to documents: the least id of a class, then of a component
     groups = components(links)

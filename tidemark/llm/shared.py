@@ -136,6 +136,43 @@ def summed(blocks: DataFrame, tasks: int, kind: type = np.int64) -> DataFrame:
     return part.select("block", "task", "counts").groupBy("block", "task").applyInArrow(add, schema)
 
 
+#: Flags of a bit table that travel together.
+BIT_BLOCK = 32_768
+
+
+def bit_of(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def bit_table(ids: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits flags that has the bit of every id set; ids is a single column. Its size is fixed."""
+    size = 1 << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(size, bool)
+        for batch in batches:
+            have[bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)] = True
+        blocks = have.reshape(-1, min(BIT_BLOCK, size))
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(blocks[i]).tobytes() for i in used], pa.binary())], ["block", "have"])
+
+    parts = ids.mapInArrow(run, "block int, have binary")
+    whole = parts.groupBy("block").applyInArrow(united, "block int, have binary")
+    out = np.zeros((size // min(BIT_BLOCK, size), min(BIT_BLOCK, size)), bool)
+    for row in whole.toLocalIterator():
+        out[row.block] = np.unpackbits(np.frombuffer(row.have, np.uint8))[: out.shape[1]]
+    return out.reshape(-1)
+
+
+def united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in rows:
+        for x in batch.column("have").to_pylist():
+            part = np.frombuffer(x, np.uint8)
+            total = part if total is None else total | part
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "have"])
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
     """left join right on key, where right has one row a key and left may hold a third of its rows in one key.
 

@@ -10,7 +10,8 @@ equal mass. The work runs in these steps, none of which meets all pairs of a gro
    two sets that reach the threshold t share the lesser k of n-grams in both prefixes. N-grams of one class only
    go at once.
 3. Each class is compared with two leaders only (of those it shares most prefix n-grams with, the one of
-   least and the one of greatest class); links become components.
+   least and the one of greatest class); links become components. Classes that still share a prefix n-gram with
+   another component have such a round again, with other leaders (``stars`` rounds).
 4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
    link is lost.
 
@@ -162,7 +163,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16, order_bits: int = 20, bits: int = 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16, order_bits: int = 20, bits: int = 23, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -191,8 +192,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("cls") != F.col("other"))
     due = F.least(F.lit(COMMON), F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100"))
 
-    def leaders(side: str) -> DataFrame:
-        votes = shared.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
+    def leaders(rows: DataFrame, side: str) -> DataFrame:
+        votes = rows.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
         return votes.groupBy("cls", "n").agg(F.max_by(F.struct("other", "m"), F.struct("count", "other")).alias("x"), F.max("count").alias("count")).select("cls", "n", "x.other", "x.m", "count").where(F.col("count") >= due).drop("count")
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -200,14 +201,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
         pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
         return pairs.select(pick("cls", "other").alias("a"), pick("n", "m").alias("na"), pick("other", "cls").alias("b"), pick("m", "n").alias("nb")).distinct()
 
-    first = durable(ordered(leaders("lo").union(leaders("hi"))), "ngram-stars")
-    links = durable(linked(first, sets_of(first), percent), "ngram-links")
-    groups = components(links)
-    placed = shared.select("key", "cls", "n").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    apart = durable(placed.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key)}).where("x <> y").select("key", "cls", "n", "component"), "ngram-apart")
+    apart, links, compared = shared, None, None
+    for k in range(stars):
+        first = ordered(leaders(apart, "lo").union(leaders(apart, "hi")))
+        first = durable(first if compared is None else first.join(compared, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "ngram-stars")
+        fresh = linked(first, sets_of(first), percent)
+        links = durable(fresh if links is None else links.union(fresh), "ngram-links")
+        compared = first.select("a", "b") if compared is None else compared.union(first.select("a", "b"))
+        groups = components(links).select(F.col("node").alias("cls"), "component")
+        placed = shared.select("key", "cls", "n").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        # other leaders in each round: classes in the order of a hash
+        mark = F.struct(F.xxhash64("cls", F.lit(k)), "cls")
+        over = {"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "lo": F.min(mark).over(by_key)["cls"], "hi": F.max(mark).over(by_key)["cls"]}
+        apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "component", "lo", "hi"), "ngram-apart")
     other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    rest = apart.join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(F.col("count") >= due)
-    rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
+    rest = apart.select("key", "cls", "n", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(F.col("count") >= due)
+    rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(compared, ["a", "b"], "left_anti"), "ngram-rest")
     more = linked(rest, sets_of(rest), percent)
     # rows that repeat an id lie together
     repeated = known.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id", "lo")

@@ -383,8 +383,8 @@ def f6_resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(BARS_SQL, f""", i AS (SELECT *, start_ns - row_number() OVER (PARTITION BY series ORDER BY start_ns) * {H} AS island FROM bars),
-h AS (SELECT series, start_ns, least(row_number() OVER w, 512) AS n, avg("close") OVER (PARTITION BY series, island ORDER BY start_ns ROWS BETWEEN 511 PRECEDING AND CURRENT ROW) AS m FROM i WINDOW w AS (PARTITION BY series, island ORDER BY start_ns))
-SELECT series, start_ns, CASE WHEN n >= 2 THEN CAST(n AS INTEGER) END AS history, round(m, 6) AS history_mean FROM h"""))
+h AS (SELECT series, start_ns, least(row_number() OVER w, 512) AS n, sum("close") OVER (PARTITION BY series, island ORDER BY start_ns ROWS BETWEEN 511 PRECEDING AND CURRENT ROW) AS m FROM i WINDOW w AS (PARTITION BY series, island ORDER BY start_ns))
+SELECT series, start_ns, CASE WHEN n >= 2 THEN CAST(n AS INTEGER) END AS history, round(m, 4) AS history_sum FROM h"""))
 def f7_history(spark: SparkSession, sf: str) -> DataFrame:
     return derive.history_lengths(bars(spark, sf))
 

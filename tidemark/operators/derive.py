@@ -88,7 +88,7 @@ def history_lengths(bars: DataFrame, most: int = 512, least: int = 2, interval:
     rows = bars.withColumn("_island", island)
     own = W.partitionBy("series", F.pmod("start_ns", F.lit(interval)), "_island").orderBy("start_ns")
     length = F.least(F.row_number().over(own), F.lit(most))
-    return rows.select("series", "start_ns", F.when(length >= least, length).alias("history"), F.round(F.avg("close").over(own.rowsBetween(-(most - 1), 0)), 6).alias("history_mean"))
+    return rows.select("series", "start_ns", F.when(length >= least, length).alias("history"), F.round(F.sum("close").over(own.rowsBetween(-(most - 1), 0)), 4).alias("history_sum"))
 
 
 def window_sums(values: DataFrame, length: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import durable, salted_join, summed, texts_of
+from tidemark.llm.shared import bounded_batches, durable, salted_join, summed, texts_of
 from tidemark.llm.url_filters import host_and_path
 
 BINS = 1 << 15
@@ -114,6 +114,7 @@ def votes(rows: DataFrame, field: str, n: int) -> DataFrame:
 def identified(pages: DataFrame, documents: DataFrame, train_docs: int = 20_000, most_evidence: float = 40.0, smooth: float = 1.0, strength: float = 5.0) -> DataFrame:
     """page_id, lang, confidence, by_text (language by text alone), declared, suffix, host for each page."""
     spark = pages.sparkSession
+    bounded_batches(pages)
     languages, table = trained(documents, train_docs)
     n = len(languages)
     host, _ = host_and_path(F.col("url").cast("string"))

@@ -13,7 +13,8 @@ equal mass. The work runs in these steps, none of which meets all pairs of a gro
    least and the one of greatest class); links become components. Classes that still share a prefix n-gram with
    another component have such a round again, with other leaders (``stars`` rounds).
 4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
-   link is lost.
+   link is lost. Enough is what the threshold's overlap needs beyond all that can lie behind the prefix that ends
+   first: as n-grams that an edit made are rare and come first, pairs below the threshold mostly fail here.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.shared import bit_of, bit_table, components, durable, mixed, summed, texts_of, window_hashes, word_hashes
+from tidemark.llm.shared import bit_of, bit_table, bounded_batches, components, durable, mixed, summed, texts_of, window_hashes, word_hashes
 
 BLOCK = 4096
 #: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
@@ -166,6 +167,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16, order_bits: int = 20, bits: int = 23, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     scan = durable(set_rows(docs, n, order_bits), "ngram-sets")
     tasks = scan.agg(F.coalesce(F.max("task"), F.lit(0)) + 1).first()[0]
@@ -192,6 +194,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("cls") != F.col("other"))
     due = F.least(F.lit(COMMON), F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100"))
 
+    # what both prefixes share, plus all that may lie behind the prefix that ends first, must reach the overlap due
+    alpha = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    behind = F.expr(f"({percent} * greatest(n, m) + 99) div 100")
+    enough = F.col("count") >= F.greatest(due, alpha - behind + F.least(F.lit(COMMON), behind))
+
     def leaders(rows: DataFrame, side: str) -> DataFrame:
         votes = rows.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
         return votes.groupBy("cls", "n").agg(F.max_by(F.struct("other", "m"), F.struct("count", "other")).alias("x"), F.max("count").alias("count")).select("cls", "n", "x.other", "x.m", "count").where(F.col("count") >= due).drop("count")
@@ -215,7 +222,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
         over = {"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "lo": F.min(mark).over(by_key)["cls"], "hi": F.max(mark).over(by_key)["cls"]}
         apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "component", "lo", "hi"), "ngram-apart")
     other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    rest = apart.select("key", "cls", "n", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(F.col("count") >= due)
+    rest = apart.select("key", "cls", "n", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(enough)
     rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(compared, ["a", "b"], "left_anti"), "ngram-rest")
     more = linked(rest, sets_of(rest), percent)
     # rows that repeat an id lie together

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import CACHE_WORDS, in_groups, texts_of
+from tidemark.llm.shared import CACHE_WORDS, bounded_batches, in_groups, texts_of
 
 BLANK = "▁"
 NONE = np.int64(2**62)
@@ -173,7 +173,7 @@ class Pieces:
     def encoded(self, texts: list[str]) -> Iterator[list[tuple[bytes, int, bytes]]]:
         """For each text its words' (decimal ids joined by blanks, number of ids, decoded text), in order."""
         split = [WORDS.findall(self.prefix + t.replace(BLANK, " ")) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > 2 * CACHE_WORDS:
             self.cache.clear()
         fresh = list({w for words in split for w in words} - self.cache.keys())
         for word, symbols in zip(fresh, self.merged([w.replace(" ", BLANK) for w in fresh]), strict=True):
@@ -191,6 +191,7 @@ def pieces(path: str) -> Pieces:
 
 def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_tokens and (ids, decoded), or their SHA-256 digests; ids have an end id."""
+    bounded_batches(docs)
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

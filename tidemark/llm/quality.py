@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import durable, texts_of
+from tidemark.llm.shared import bounded_batches, durable, texts_of
 
 #: Ratios that rules can cut, larger is worse.
 FEATURES = ("symbols", "dup_lines", "repeats", "shouting", "capitals", "wordless", "long_words")
@@ -84,6 +84,7 @@ def measured(text: bytes | None) -> tuple:
 
 def features(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, COUNTS and FEATURES of each document's whole text; with ``carry`` also the whole row as _row."""
+    bounded_batches(docs)
     types = [*((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in FEATURES)]
     held = ["doc_id", "lang", *["_row"] * carry]
 

@@ -21,7 +21,18 @@ from pyspark.sql import functions as F
 #: Characters between words, for Java regular expressions and ``trim``.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A process keeps at most so many words in a cache; a full cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+
+
+#: Rows that go to a Python worker at a time: texts are long, and a worker holds a batch more than once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lets the session hand Python at most BATCH_ROWS rows at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
 
 
 def scratch_dir(spark: SparkSession) -> str:

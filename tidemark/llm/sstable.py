@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import CACHE_WORDS, durable, in_groups, scratch_dir, texts_of
+from tidemark.llm.shared import CACHE_WORDS, bounded_batches, durable, in_groups, scratch_dir, texts_of
 
 MAGIC = b"TIDEIDS1"
 BLOCK_BYTES = 32 * 1024
@@ -213,7 +213,7 @@ class WordEncoder:
     def encoded(self, texts: list[bytes]) -> Iterator[bytes]:
         # a special token's text is the only one whose case matters
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > 3 * CACHE_WORDS:
             self.words.clear()
         self.learn(list({w for words in split for w in words} - self.words.keys()))
         for words in split:
@@ -302,6 +302,7 @@ def crc32(tokens: np.ndarray) -> int:
 def written(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, shard_docs: int = 8192) -> tuple[DataFrame, str]:
     """(the table of shards, their folder). There is a shard for about ``shard_docs`` documents."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = folder or f"{scratch_dir(spark)}/token-ids-{os.urandom(8).hex()}"
     partitions = max(1, -(-docs.select("doc_id").count() // shard_docs))

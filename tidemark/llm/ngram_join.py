@@ -39,7 +39,7 @@ from tidemark.llm.shared import bit_of, bit_table, bounded_batches, components,
 
 BLOCK = 4096
 #: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
-COMMON = 8
+COMMON = 20
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:

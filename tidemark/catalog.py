@@ -645,3 +645,7 @@ def l4_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
     """The second manifest of each chain is tampered with; the check must name exactly these."""
     chain = l3_manifest_chain(spark, sf)
     return ledger.chain_breaks(chain.withColumn("previous", F.when(F.col("sequence") == 2, "tampered").otherwise(F.col("previous"))))
+
+
+# the rest registers itself
+from tidemark.plans import market, streams  # noqa: E402, F401

@@ -83,10 +83,10 @@ def a11_assign_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT CASE WHEN c.orders_n IS NULL THEN 'new' WHEN l.n = c.orders_n THEN 'same' ELSE 'conflict' END AS outcome, count(*) AS n
-FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) l LEFT JOIN (SELECT o_orderkey AS k, 1 + o_orderkey % 7 AS orders_n FROM orders WHERE o_orderkey % 3 <> 0) c USING (k) GROUP BY 1""")
+FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) l LEFT JOIN (SELECT o_orderkey AS k, 1 + o_orderkey % 7 AS orders_n FROM orders WHERE o_orderstatus <> 'O') c USING (k) GROUP BY 1""")
 def a15_catalog_accept(spark: SparkSession, sf: str) -> DataFrame:
     incoming = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
-    known = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 7).alias("known"))
+    known = table(spark, sf, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 7).alias("known"))
     rows = incoming.join(known, "k", "left")
     return rows.groupBy(F.when(F.col("known").isNull(), "new").when(F.col("n") == F.col("known"), "same").otherwise("conflict").alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -167,19 +167,19 @@ def b19_decimal_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- joins -------------------------------------------------------------------------------------------------
-@query("""SELECT n_name, count(*) AS n, count(*) FILTER (WHERE c.c_custkey IS NULL) AS missing FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON o.o_custkey = c.c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("""SELECT n_name, count(*) AS n, count(*) FILTER (WHERE c.c_custkey IS NULL) AS missing FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'AUTOMOBILE') c ON o.o_custkey = c.c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def c1_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").where("c_custkey % 10 <> 0")
+    c = table(spark, sf, "customer").where("c_mktsegment <> 'AUTOMOBILE'")
     rows = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return rows.groupBy("n_name").agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey % 5 AS h FROM orders WHERE o_orderkey % 4 <> 0), u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN -1 ELSE o_custkey % 5 END AS h FROM orders WHERE o_orderkey % 6 <> 0)
+@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey % 5 AS h FROM orders WHERE o_orderstatus <> 'P'), u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN -1 ELSE o_custkey % 5 END AS h FROM orders WHERE o_orderpriority <> '1-URGENT')
 SELECT CASE WHEN u.k IS NULL THEN 'no-outcome' WHEN r.k IS NULL THEN 'no-raw' WHEN r.h <> u.h THEN 'hash-mismatch' ELSE 'ok' END AS state, count(*) AS n FROM r FULL JOIN u ON r.k = u.k GROUP BY 1""")
 def c2_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    raw = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("h"), F.lit(True).alias("raw"))
-    out = o.where("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(F.col("o_custkey") % 5).alias("g"), F.lit(True).alias("out"))
+    raw = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("h"), F.lit(True).alias("raw"))
+    out = o.where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(F.col("o_custkey") % 5).alias("g"), F.lit(True).alias("out"))
     state = F.when(F.col("out").isNull(), "no-outcome").when(F.col("raw").isNull(), "no-raw").when(F.col("h") != F.col("g"), "hash-mismatch").otherwise("ok")
     return raw.join(out, "k", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 

@@ -13,8 +13,10 @@ equal mass. The work runs in these steps, none of which meets all pairs of a gro
    least and the one of greatest class); links become components. Classes that still share a prefix n-gram with
    another component have such a round again, with other leaders (``stars`` rounds).
 4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
-   link is lost. Enough is what the threshold's overlap needs beyond all that can lie behind the prefix that ends
-   first: as n-grams that an edit made are rare and come first, pairs below the threshold mostly fail here.
+   link is lost. Sets that must overlap in v of n and m n-grams share their first common one within the first
+   n - v + 1 and m - v + 1 places; the join keeps such meetings only. Then what both prefixes share must reach what
+   v needs beyond all that can lie behind the prefix that ends first: as n-grams that an edit made are rare and come
+   first, pairs below the threshold mostly fail at these two bounds.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
@@ -39,7 +41,7 @@ from tidemark.llm.shared import bit_of, bit_table, bounded_batches, components,
 
 BLOCK = 4096
 #: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
-COMMON = 20
+COMMON = 8
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -102,7 +104,7 @@ class GlobalOrder:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """key, cls, n: the n-grams in each set's prefix. A task emits an equal set once as long as it remembers it."""
+    """key, cls, n, pos: the n-grams in each set's prefix and their places. A task emits an equal set once as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = order.value
@@ -123,9 +125,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
                 sizes.append(size)
             many = [len(k) for k in keys]
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["key", "cls", "n"])
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in many]) if keys else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(pos)], ["key", "cls", "n", "pos"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "key bigint, cls bigint, n int")
+    return docs.where("doc_id is not null").mapInArrow(run, "key bigint, cls bigint, n int, pos int")
 
 
 def segments(docs: DataFrame, n: int, order, wanted) -> DataFrame:
@@ -197,7 +200,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     # what both prefixes share, plus all that may lie behind the prefix that ends first, must reach the overlap due
     alpha = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     behind = F.expr(f"({percent} * greatest(n, m) + 99) div 100")
-    enough = F.col("count") >= F.greatest(due, alpha - behind + F.least(F.lit(COMMON), behind))
+    enough = F.greatest(due, alpha - behind + F.least(F.lit(COMMON), behind))
+    early = (F.col("pos") <= F.col("n") - alpha) & (F.col("pos2") <= F.col("m") - alpha)
 
     def leaders(rows: DataFrame, side: str) -> DataFrame:
         votes = rows.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
@@ -216,13 +220,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
         links = durable(fresh if links is None else links.union(fresh), "ngram-links")
         compared = first.select("a", "b") if compared is None else compared.union(first.select("a", "b"))
         groups = components(links).select(F.col("node").alias("cls"), "component")
-        placed = shared.select("key", "cls", "n").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        placed = shared.select("key", "cls", "n", "pos").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         # other leaders in each round: classes in the order of a hash
         mark = F.struct(F.xxhash64("cls", F.lit(k)), "cls")
         over = {"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "lo": F.min(mark).over(by_key)["cls"], "hi": F.max(mark).over(by_key)["cls"]}
-        apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "component", "lo", "hi"), "ngram-apart")
-    other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    rest = apart.select("key", "cls", "n", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near).groupBy("cls", "n", "other", "m").count().where(enough)
+        apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "pos", "component", "lo", "hi"), "ngram-apart")
+    other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    met = apart.select("key", "cls", "n", "pos", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near & early)
+    met = durable(met.select("cls", "n", "other", "m").distinct(), "ngram-met")
+    # a key that sets of two components share is in apart: no common prefix n-gram is missing here
+    held = met.select("cls").union(met.select("other")).distinct()
+    held = apart.join(held, "cls", "left_semi").groupBy("cls").agg(F.collect_set("key").alias("keys"))
+    sharing = met.join(held, "cls").join(held.select(F.col("cls").alias("other"), F.col("keys").alias("keys2")), "other")
+    rest = sharing.where(F.size(F.array_intersect("keys", "keys2")) >= enough)
     rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(compared, ["a", "b"], "left_anti"), "ngram-rest")
     more = linked(rest, sets_of(rest), percent)
     # rows that repeat an id lie together

@@ -14,7 +14,8 @@ equal mass. The work runs in these steps, none of which meets all pairs of a gro
    another component have such a round again, with other leaders (``stars`` rounds).
 4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
    link is lost. Sets that must overlap in v of n and m n-grams share their first common one within the first
-   n - v + 1 and m - v + 1 places; the join keeps such meetings only. Then what both prefixes share must reach what
+   n - v + 1 and m - v + 1 places, and the parities of their bits differ in n + m - 2v places at most; the join keeps
+   such meetings only. Then what both prefixes share must reach what
    v needs beyond all that can lie behind the prefix that ends first: as n-grams that an edit made are rare and come
    first, pairs below the threshold mostly fail at these two bounds.
 
@@ -42,6 +43,8 @@ from tidemark.llm.shared import bit_of, bit_table, bounded_batches, components,
 BLOCK = 4096
 #: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
 COMMON = 8
+#: Words of 64 parity bits for each set: two sets differ in as many n-grams at least as in parities.
+PARITY = [f"p{k}" for k in range(4)]
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -57,29 +60,36 @@ def set_class(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's n-grams falls on each of 64 * len(PARITY) bits, packed into words."""
+    size = 64 * len(PARITY)
+    return np.packbits(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).view(np.int64)
+
+
 def set_rows(docs: DataFrame, n: int, order_bits: int) -> DataFrame:
-    """A row (doc_id, n, cls) for each document and rows (block, counts) with a task's bucket counts."""
+    """A row (doc_id, n, cls, parities) for each document and rows (block, counts) with a task's bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << order_bits, np.int64)
         shift = np.uint64(64 - order_bits)
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, odd = [], [], []
             for text in texts_of(batch):
                 s = shingle_set(text, n)
                 sizes.append(len(s))
+                odd.append(parities(s))
                 classes.append(set_class(s) if len(s) else None)
                 np.add.at(counts, (s >> shift).astype(np.int64), 1)
             size = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(size, len(PARITY)).T)], names)
         blocks = counts.reshape(-1, min(BLOCK, 1 << order_bits))
         used = [int(i) for i in np.flatnonzero(blocks.any(axis=1))]
         task = TaskContext.get().partitionId()
         size = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array([task] * size, pa.int32()), pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array([task] * size, pa.int32()), pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary()), *(pa.nulls(size, pa.int64()) for _ in PARITY)], names)
 
-    names = ["doc_id", "n", "cls", "task", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, task int, block int, counts binary")
+    names = ["doc_id", "n", "cls", "task", "block", "counts", *PARITY]
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, task int, block int, counts binary, " + ", ".join(f"{p} bigint" for p in PARITY))
 
 
 class GlobalOrder:
@@ -178,14 +188,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     for row in summed(scan.where("block is not null"), tasks).toLocalIterator():
         counts[row.block] = np.frombuffer(row.counts, np.int64)
     order = spark.sparkContext.broadcast(GlobalOrder(counts.reshape(-1), order_bits, fragments))  # 2**order_bits bytes
-    rows = scan.where("block is null").select("doc_id", "n", "cls")
+    rows = scan.where("block is null").select("doc_id", "n", "cls", *PARITY)
 
     by_key = W.partitionBy("key")
     shared = prefixes(docs, n, percent, order).withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)}).where("lo <> hi").distinct()
     shared = durable(shared, "ngram-shared")
 
     known = rows.where("doc_id is not null and cls is not null")
-    firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ngram-firsts")
+    firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.min(p).alias(p) for p in PARITY]), "ngram-firsts")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The fragments of the pairs' sets only, from the texts."""
@@ -225,8 +235,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
         mark = F.struct(F.xxhash64("cls", F.lit(k)), "cls")
         over = {"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "lo": F.min(mark).over(by_key)["cls"], "hi": F.max(mark).over(by_key)["cls"]}
         apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "pos", "component", "lo", "hi"), "ngram-apart")
-    other = apart.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    met = apart.select("key", "cls", "n", "pos", "component").join(other, "key").where((F.col("component") < F.col("component2")) & near & early)
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITY), F.lit(0))
+    alike = differ <= F.col("n") + F.col("m") - 2 * alpha
+    marked = apart.join(firsts.select("cls", *PARITY), "cls").select("key", "cls", "n", "pos", "component", *PARITY)
+    other = marked.select("key", *[F.col(p).alias(f"{p}_2") for p in PARITY], F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    met = marked.join(other, "key").where((F.col("component") < F.col("component2")) & near & early & alike)
     met = durable(met.select("cls", "n", "other", "m").distinct(), "ngram-met")
     # a key that sets of two components share is in apart: no common prefix n-gram is missing here
     held = met.select("cls").union(met.select("other")).distinct()

@@ -286,6 +286,26 @@ def test_decontamination(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_decontamination_of_hot_items(spark):
+    """An item in a third of the documents, one of common words only, and one that shares its first words with the hot one."""
+    rng = random.Random(9)
+    vocabulary = [f"w{rng.randrange(30) if k % 2 else rng.randrange(5000)}" for k in range(20_000)]
+    hot = [f"hot{k}" for k in range(40)]
+    common = [f"w{rng.randrange(30)}" for _ in range(24)]
+    items = [(1, " ".join(hot)), (2, " ".join(common)), (3, " ".join([*hot[:12], *(f"own{k}" for k in range(12))]))]
+    docs, planted = [], set()
+    for d in range(600):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(50, 300))]
+        for i, words_, each in ((1, hot, 3), (2, common, 50), (3, items[2][1].split(), 60)):
+            if d % each == 0:
+                at = rng.randint(0, len(w)) if i == 1 else 0  # the others never cut an item in two
+                w[at:at] = [x if i != 1 or d % 2 or k % 8 else "other" for k, x in enumerate(words_)]
+                planted.add((d, i))
+        docs.append((d, " ".join(w)))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == planted
+
+
 def test_common_subsequence():
     import numpy as np
 

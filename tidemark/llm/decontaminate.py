@@ -3,16 +3,19 @@
 Benchmark items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast is bounded. For a block
 
 1. one pass over the corpus turns each text into the places of the block's words (0 for other words; words
-   are lower-cased and stripped of punctuation) and counts document frequencies;
+   are lower-cased and stripped of punctuation), counts document frequencies and sketches in how many different
+   contexts (pairs of neighbours) a word stands;
 2. passages of 32 words are rows of a TF-IDF matrix A over the block's words (words in more than ``max_df`` of
-   the documents weigh nothing). Its randomised SVD is distributed: tasks sum up A'(A Omega) and, for its
+   the documents weigh nothing here). Its randomised SVD is distributed: tasks sum up A'(A Omega) and, for its
    orthonormal basis Q, the small (AQ)'(AQ), whose eigenvectors turn Q into right singular vectors;
 3. windows of 32 words, 16 apart, and items are projected and each dimension is divided by its singular value, or
    else the language of the words around would drown the item; an item is a candidate where the cosine reaches
-   ``cosine`` and enough of its words are there;
+   ``cosine`` and enough of its words are there. A word is telling unless both its documents and its contexts are
+   many, so an item that stands in many documents keeps its telling words. An item of whose telling words less than
+   0.9, or less than four, weigh in A is looked for without vectors: every window with enough of its words is one;
 4. a candidate is a leak if the longest common subsequence with the words around has ``ratio`` of the item's
    words, or, for paraphrases, ``loose`` of them while the item's answer (its ``answer`` column, or else its last
-   third) is there as well; the same share of the item's words that weigh something must be there in order, for
+   third) is there as well; the same share of the item's telling words must be there in order, for
    paraphrases four of them at least. An item with less than four such words must be there almost wholly (0.95).
 
 Null texts count as empty. An item with fewer than ``least_words`` words is no query.
@@ -24,15 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import CACHE_WORDS, bounded_batches, discard, durable, summed, texts_of
+from tidemark.llm.shared import CACHE_WORDS, MULTIPLIERS, bounded_batches, discard, durable, in_groups, mixed, summed, texts_of
 
 BLOCK_WORDS = 60_000
 STEP = 16
 PUNCTUATION = b".,;:!?\"'()[]{}<>-*_"
+#: Registers of a word's sketch of contexts (HyperLogLog, 13 % of error).
+REGISTERS = 64
 
 
 def normal(word: bytes) -> bytes:
@@ -40,7 +46,7 @@ def normal(word: bytes) -> bytes:
 
 
 class Vocabulary(dict):
-    """raw word -> place of its normal form in the block, or 0; remembered up to a bound."""
+    """raw word -> place of its normal form in the block, or 0, below 48 bits of its hash; remembered up to a bound."""
 
     def __init__(self, places: dict[bytes, int]):
         super().__init__()
@@ -49,8 +55,27 @@ class Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_WORDS:
             self.clear()
-        place = self[word] = self.places.get(normal(word), 0)
-        return place
+        form = normal(word)
+        value = self[word] = (xxhash.xxh3_64_intdigest(form) >> 16 << 16) | self.places.get(form, 0)
+        return value
+
+
+def sketch(registers: np.ndarray, words: np.ndarray) -> None:
+    """Adds the contexts of the block's words in words (of a Vocabulary, 0 between texts) to registers."""
+    ids = (words & np.uint64(0xFFFF)).astype(np.int64)
+    on = np.flatnonzero(ids)
+    forms = np.pad(words >> np.uint64(16), 1)
+    with np.errstate(over="ignore"):
+        context = mixed(forms[on] * MULTIPLIERS[0] + forms[on + 2] * MULTIPLIERS[1])
+    rank = 59 - np.frexp((context >> np.uint64(6)).astype(np.float64))[1]
+    np.maximum.at(registers.reshape(-1), ids[on] * REGISTERS + (context % np.uint64(REGISTERS)).astype(np.int64), rank.astype(np.uint8))
+
+
+def contexts(registers: np.ndarray) -> np.ndarray:
+    """The estimated number of contexts of each word."""
+    raw = 0.709 * REGISTERS**2 / (0.5 ** registers.astype(np.float64)).sum(axis=1)
+    empty = (registers == 0).sum(axis=1)
+    return np.where((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), raw)
 
 
 def item_blocks(benchmark: DataFrame, least_words: int) -> Iterator[tuple[dict[bytes, int], list[tuple[int, np.ndarray, np.ndarray]]]]:
@@ -75,23 +100,29 @@ def item_blocks(benchmark: DataFrame, least_words: int) -> Iterator[tuple[dict[b
 
 
 def placed(docs: DataFrame, places) -> DataFrame:
-    """doc_id, row_key, ids (places, 16 bits each), and a row (task, counts) with a task's document frequencies."""
-    names = ["doc_id", "row_key", "ids", "task", "counts"]
+    """doc_id, row_key, ids (places, 16 bits each), and a row (task, counts, registers) with a task's document frequencies and sketches."""
+    names = ["doc_id", "row_key", "ids", "task", "counts", "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Vocabulary(places.value).__getitem__
         df = np.zeros(len(places.value) + 1, np.int64)
+        registers = np.zeros((len(places.value) + 1, REGISTERS), np.uint8)
+        between = np.zeros(1, np.uint64)
         for batch in batches:
             out = []
-            for text in texts_of(batch):
-                words = (text or b"").split()
-                ids = np.fromiter(map(lookup, words), np.uint16, len(words))
-                df[np.unique(ids)] += 1
-                out.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([df.tobytes()], pa.binary())], names)
+            for group in in_groups(texts_of(batch)):
+                found = []
+                for text in group:
+                    words = (text or b"").split()
+                    found += [np.fromiter(map(lookup, words), np.uint64, len(words)), between]
+                    ids = (found[-2] & np.uint64(0xFFFF)).astype(np.uint16)
+                    df[np.unique(ids)] += 1
+                    out.append(ids.tobytes())
+                sketch(registers, np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([df.tobytes()], pa.binary()), pa.array([registers.tobytes()], pa.binary())], names)
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id bigint, row_key bigint, ids binary, task int, counts binary")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id bigint, row_key bigint, ids binary, task int, counts binary, registers binary")
 
 
 class Stretch:
@@ -129,9 +160,9 @@ def stretches(batch: pa.RecordBatch, most_words: int = 400_000) -> Iterator[tupl
         yield slice(at, len(raw)), Stretch(raw[at:])
 
 
-def total_of(rows: DataFrame, tasks: int, kind: type, shape: tuple) -> np.ndarray:
+def total_of(rows: DataFrame, tasks: int, kind: type, shape: tuple, add: np.ufunc = np.add) -> np.ndarray:
     """The sum of the tasks' arrays, whose size is bounded by the block's words."""
-    found = summed(rows.select("task", F.lit(0).alias("block"), "counts"), tasks, kind).collect()
+    found = summed(rows.select("task", F.lit(0).alias("block"), "counts"), tasks, kind, add).collect()
     return np.frombuffer(found[0].counts, kind).reshape(shape) if found else np.zeros(shape, kind)
 
 
@@ -181,20 +212,23 @@ def masks_of(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
-def searched(texts: DataFrame, items, projection, cosine: float, ratio: float, loose: float, answer: float) -> DataFrame:
+def searched(texts: DataFrame, items, projection, telling, cosine: float, ratio: float, loose: float, answer: float) -> DataFrame:
     """doc_id, row_key, item_id, lcs, ratio, cosine: the leaks."""
     names = ["doc_id", "row_key", "item_id", "lcs", "ratio", "cosine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vectors = items.value, projection.value
-        keep = np.abs(vectors).max(axis=1) > 0
+        keep, tells = np.abs(vectors).max(axis=1) > 0, telling.value
         queries = np.stack([vectors[at].sum(axis=0) for _, at, _ in known])
         queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
         member = np.zeros((len(known), len(vectors)), np.float32)
+        poor = [int(tells[at].sum()) < 4 for _, at, _ in known]
         for i, (_, at, _) in enumerate(known):
-            member[i, at[keep[at]]] = 1
+            member[i, at if poor[i] else at[tells[at]]] = 1
         distinct = np.maximum(member.sum(axis=1), 1)
-        masks = [(masks_of(at), len(at), masks_of(said), len(said), masks_of(at[keep[at]]), int(keep[at].sum())) for _, at, said in known]
+        direct = np.flatnonzero([keep[at].sum() < max(4, 0.9 * tells[at].sum()) for _, at, _ in known])
+        chunks = [(few, np.ascontiguousarray(member[few].T), member[few].any(axis=0)) for few in np.split(direct, range(64, len(direct), 64)) if len(few)]
+        masks = [(masks_of(at), len(at), masks_of(said), len(said), masks_of(at[tells[at]]), int(tells[at].sum())) for _, at, said in known]
         for batch in batches:
             doc_ids, keys = batch.column("doc_id"), batch.column("row_key")
             out: list[tuple] = []
@@ -213,7 +247,21 @@ def searched(texts: DataFrame, items, projection, cosine: float, ratio: float, l
                 # the words of each window, and how many of them (repeats included) weigh something in the item
                 words_of = np.zeros((len(s.doc) + 1, STEP), np.uint16)
                 words_of[s.step, (np.arange(len(s.ids)) - s.first_word[s.doc[s.step]]) % STEP] = s.ids
-                win, item = np.nonzero(cos >= cosine)
+                candidate = cos >= cosine
+                for few, members, used in chunks:
+                    on = used[s.ids]
+                    hits = s.sums(s.ids[on], s.step[on], members)
+                    wins = hits.copy()
+                    wins[nxt] += hits[1:][nxt[:-1]]
+                    candidate[:, few] |= wins >= 0.35 * np.minimum(distinct[few], 2 * STEP)
+                    for i in few.tolist():
+                        if poor[i]:  # 0.95 of its words must be around, in any order
+                            n = masks[i][1]
+                            first, at = s.first_word[s.doc], s.first_word[s.doc] + (np.arange(len(s.doc)) - s.first_step[s.doc]) * STEP
+                            lo, hi = np.maximum(first, at - n), np.minimum(first + s.lens[s.doc], at + 2 * STEP + n)
+                            upto = np.append(0, np.cumsum(member[i, s.ids], dtype=np.int64))
+                            candidate[:, i] &= upto[hi] - upto[lo] >= 0.95 * n
+                win, item = np.nonzero(candidate)
                 found = member[item[:, None], words_of[win]].sum(axis=1) + np.where(nxt[win], member[item[:, None], words_of[win + 1]].sum(axis=1), 0)
                 on = found >= 0.35 * np.minimum(distinct[item], 2 * STEP)
                 for w, i in zip(win[on].tolist(), item[on].tolist(), strict=True):
@@ -261,7 +309,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16
         df = total_of(counts, tasks, np.int64, (len(places) + 1,))
         n_docs = max(int(texts.count()), 1)
         idf = np.log((1 + n_docs) / (1 + df))
-        idf[df > max(max_df * n_docs, 20)] = 0
+        most = max(max_df * n_docs, 20)
+        idf[df > most] = 0
+        telling = (df <= most) | (contexts(total_of(counts.select("task", F.col("registers").alias("counts")), tasks, np.uint8, (len(places) + 1, REGISTERS), np.maximum)) <= most)
+        telling[0] = False
         idf[0] = 0
         width = min(rank + extra, len(places))
         start = np.random.default_rng(seed).standard_normal((len(places) + 1, width))
@@ -271,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16
         top = np.argsort(-values)[:rank]
         scale = 1 / np.sqrt(np.maximum(values[top], max(values.max(), 1e-9) * 1e-9))  # of eigenvalues, squares of singular values
         projection = (idf[:, None] * (basis @ turn[:, top]) * scale).astype(np.float32)
-        found = durable(searched(texts, send(items), send(projection), cosine, ratio, loose, answer), "leak-found")
+        found = durable(searched(texts, send(items), send(projection), send(telling), cosine, ratio, loose, answer), "leak-found")
         discard(rows)
         out = found if out is None else out.union(found)
     if out is None:

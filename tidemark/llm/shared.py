@@ -128,7 +128,7 @@ def in_groups(texts: list, most_bytes: int = 2_000_000) -> Iterator[list]:
         yield group
 
 
-def summed(blocks: DataFrame, tasks: int, kind: type = np.int64) -> DataFrame:
+def summed(blocks: DataFrame, tasks: int, kind: type = np.int64, plus: np.ufunc = np.add) -> DataFrame:
     """Adds the arrays (counts) that tasks made of each block, first in groups of about sqrt(tasks) tasks, then over these."""
 
     def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def summed(blocks: DataFrame, tasks: int, kind: type = np.int64) -> DataFrame:
         for batch in rows:
             for x in batch.column("counts").to_pylist():
                 part = np.frombuffer(x, kind)
-                total = part if total is None else total + part
+                total = part if total is None else plus(total, part)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "task", "counts"])
 
     schema = "block int, task int, counts binary"

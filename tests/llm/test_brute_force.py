@@ -286,6 +286,29 @@ def test_decontamination(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_quality_cutoffs_of_few_labels(spark):
+    """Some 1,000 good holdout documents certify joint cutoffs of two features; 100 do not."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(2700):
+        lang, bad = ("de" if i >= 2500 else "en"), i % 8 == 0
+        w = [f"w{rng.randint(0, 9999)}" for _ in range(30)]
+        text = " ".join(x + "!!" if bad and i % 16 else x.upper() if bad else x for x in w)
+        rows.append((i, text, lang, None, None))
+        labels.append((i, 0 if bad else 1, 0))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    chosen = quality.cutoffs(quality.features(docs), marks).collect()
+    assert {r.stratum for r in chosen if r.feature} == {"en"} and len({r.feature for r in chosen if r.feature}) >= 2
+    for r in chosen:
+        if r.feature:
+            assert r.p_value <= 0.05 and r.p_value == pytest.approx(quality.binomial_tail(r.n_false, r.n_good, 0.01))
+    out = {r.doc_id: r.kept for r in quality.quality(docs, marks).collect()}
+    assert all(out[i] for i in out if i % 8) and not any(out[i] for i in range(0, 2500, 8)) and all(out[i] for i in range(2500, 2700))
+    # every joint rule of a sequence rejects what the rules before reject, by cutoffs that only fall
+    path = quality.sequence({"a": [(0.9, 1, 5), (0.5, 3, 6), (0.7, 1, 4), (0.1, 50, 60)], "b": [(2.0, 0, 3), (1.0, 9, 9)]})
+    assert path[0] == ("b", 2.0) and [c for f, c in path if f == "a"] == sorted((c for f, c in path if f == "a"), reverse=True)
+
+
 def test_decontamination_of_hot_items(spark):
     """An item in a third of the documents, one of common words only, and one that shares its first words with the hot one."""
     rng = random.Random(9)

@@ -2,12 +2,16 @@
 
 Every document gets the counts of ``BASE`` and ratios of ``FEATURES`` (larger is worse). Labelled
 documents are dealt by a hash of their id into a fitting and a holdout half. Within a stratum (the
-declared language) the fitting half proposes cutoffs of each feature. A cutoff counts as safe when, on
-the holdout documents labelled good, the exact binomial test rejects "its false rejection rate is above
-the stratum's share of the allowed rate" at a level that is divided by all proposals tested (Bonferroni).
-Of the safe cutoffs of a feature the one that rejects most documents labelled bad is used. As the allowed
-rate is divided by the number of features, all features together reject falsely at most ``max_rejection``
-of good documents in each stratum, with probability 1 - ``error``.
+declared language) the fitting half alone makes one sequence of joint rules, each of which has a cutoff at
+most for each feature and rejects all that the rule before rejects: from no rule on, the cutoffs of all
+features are let down in the order of bad documents won for each good one lost (concave hulls). On the
+holdout documents labelled good, the exact binomial test of "the joint rule's false rejection rate is above
+``max_rejection``" is made in that order, up to the first that does not reject (fixed sequence), so a stratum
+needs no correction for the number of rules or features; of the rules passed the last that wins bad documents of the
+fitting half is taken. The level is ``error`` divided by the number of
+strata tested; a stratum is tested if it has enough good holdout documents to pass without any rejection. All
+features together reject falsely at most ``max_rejection`` of good documents in each stratum, with probability
+1 - ``error``.
 
 Null texts count as empty, a null language is the stratum '' and rare strata share one; documents of a
 stratum without a safe cutoff are judged by the base rules alone. Repeated rows are judged each.
@@ -19,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,35 +117,85 @@ def binomial_tail(k: int, n: int, rate: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def hull(points: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """(cutoff, good lost, bad won) on the upper concave hull from (0, 0), strictest first."""
+    out: list[tuple[float, int, int]] = []
+    for p in sorted(points, key=lambda x: (x[1], -x[2], -x[0])):
+        if p[2] <= (out[-1][2] if out else 0):
+            continue
+        while out:
+            before = out[-2] if len(out) > 1 else (0.0, 0, 0)
+            if (out[-1][2] - before[2]) * (p[1] - out[-1][1]) > (p[2] - out[-1][2]) * (out[-1][1] - before[1]):
+                break
+            out.pop()
+        out.append(p)
+    return out
+
+
+def sequence(proposals: dict[str, list[tuple[float, int, int]]]) -> list[tuple[str, float]]:
+    """The steps (feature, cutoff) of a stratum's joint rules in the order of bad documents won for each good one lost."""
+    steps = []
+    for feature, points in proposals.items():
+        good = bad = 0
+        for place, (cutoff, lost, won) in enumerate(hull(points)):
+            steps.append(((lost - good) / (won - bad), feature, place, cutoff))
+            good, bad = lost, won
+    return [(feature, cutoff) for _, feature, _, cutoff in sorted(steps)]
+
+
 def cutoffs(measures: DataFrame, labels: DataFrame, max_rejection: float = 0.01, error: float = 0.05, grid: int = 24, strata: int = 64) -> DataFrame:
-    """stratum, feature, cutoff, n_good, n_false, bad_found, p_value: the chosen cutoffs.
+    """stratum, feature, cutoff, n_good, n_false, bad_found, p_value: the chosen cutoffs, with figures of their joint rule.
 
     A stratum without any has one row with a null feature. At most ``strata`` + 1 rows a feature, whatever
-    the input's size.
+    the input's size; so is all that the driver gets.
     """
+    spark = measures.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measures.where(~base_failed()).withColumn("stratum", F.coalesce("lang", F.lit(""))).join(known, "doc_id")
     top = rows.groupBy("stratum").agg(F.count("*").alias("n_top")).orderBy(F.desc("n_top"), "stratum").limit(strata)
     rows = rows.join(F.broadcast(top), "stratum", "left").withColumn("stratum", F.when(F.col("n_top").isNull(), "").otherwise(F.col("stratum")))
     rows = rows.withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
-    long = rows.select("stratum", "fit", "quality", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("x")).select("stratum", "fit", "quality", "x.*")
-    long = durable(long, "quality-labelled")
+    rows = durable(rows.select("stratum", "fit", (F.col("quality") == 1).alias("good"), *FEATURES), "quality-labelled")
+    long = rows.where("fit").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("x")).select("stratum", "good", "x.*")
     steps = [1 - 0.5 ** (i / 2) for i in range(2, grid + 2)]  # proposals crowd towards the top
-    proposals = long.where("fit").groupBy("stratum", "feature").agg(F.expr(f"percentile_approx(value, array({', '.join(map(str, steps))}), 10000)").alias("cuts"))
-    tested = long.join(F.broadcast(proposals), ["stratum", "feature"]).select("stratum", "feature", "fit", "quality", "value", F.explode(F.array_distinct("cuts")).alias("cutoff"))
-    good, hit = F.col("quality") == 1, F.col("value") > F.col("cutoff")
-    counts = tested.groupBy("stratum", "feature", "cutoff").agg(
-        F.count_if(~F.col("fit") & good).alias("n_good"), F.count_if(~F.col("fit") & good & hit).alias("n_false"), F.count_if(F.col("fit") & ~good & hit).alias("bad_found"))
-    rate = max_rejection / len(FEATURES)
-
-    @F.pandas_udf("double")
-    def p_value(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), rate) for a, b in zip(k, n, strict=True)], dtype=float)
-
-    n_tests = counts.agg(F.count("*").alias("n_tests"))
-    safe = counts.withColumn("p_value", p_value("n_false", "n_good")).crossJoin(F.broadcast(n_tests)).where((F.col("p_value") <= error / F.col("n_tests")) & (F.col("bad_found") > 0))
-    best = safe.groupBy("stratum", "feature").agg(F.max_by(F.struct("cutoff", "n_good", "n_false", "bad_found", "p_value"), F.struct("bad_found", "cutoff")).alias("b"))
-    return counts.select("stratum").distinct().join(best, "stratum", "left").select("stratum", "feature", "b.*")
+    proposals = long.groupBy("stratum", "feature").agg(F.expr(f"percentile_approx(value, array({', '.join(map(str, steps))}), 10000)").alias("cuts"))
+    tried = long.join(F.broadcast(proposals), ["stratum", "feature"]).select("stratum", "feature", "good", "value", F.explode(F.array_distinct("cuts")).alias("cutoff"))
+    hit = F.col("value") > F.col("cutoff")
+    points: dict[str, dict[str, list[tuple[float, int, int]]]] = {}
+    for r in tried.groupBy("stratum", "feature", "cutoff").agg(F.count_if(F.col("good") & hit).alias("lost"), F.count_if(~F.col("good") & hit).alias("won")).collect():
+        points.setdefault(r.stratum, {}).setdefault(r.feature, []).append((r.cutoff, r.lost, r.won))
+    paths = {stratum: sequence(p) for stratum, p in points.items()}
+
+    # the first step of its stratum that rejects a document
+    table = spark.createDataFrame([(s, [(FEATURES.index(f) + 1, c, i) for i, (f, c) in enumerate(path)]) for s, path in paths.items()], "stratum string, path array<struct<feature: int, cutoff: double, step: int>>")
+    values = F.array(*FEATURES)
+    hits = F.filter("path", lambda x: F.element_at(values, x["feature"]) > x["cutoff"])
+    step = F.array_min(F.transform(hits, lambda x: x["step"]))
+    counts: dict[str, dict[tuple, int]] = {}
+    for r in rows.join(F.broadcast(table), "stratum", "left").groupBy("stratum", "fit", "good", step.alias("step")).count().collect():
+        counts.setdefault(r.stratum, {})[r.fit, r.good, r.step] = r["count"]
+
+    n_good = {s: sum(n for (fit, good, _), n in c.items() if good and not fit) for s, c in counts.items()}
+    able = sorted((s for s in n_good if paths.get(s)), key=lambda s: (-n_good[s], s))
+    tests = max((k for k, s in enumerate(able, 1) if binomial_tail(0, n_good[s], max_rejection) <= error / k), default=0)
+    tested = set(able[:tests])
+    out = []
+    for stratum, c in counts.items():
+        found: dict[str, float] = {}
+        taken: dict[str, float] = {}
+        n_false = bad_found = 0
+        best = None
+        for i, (feature, cutoff) in enumerate(paths[stratum] if stratum in tested else []):
+            n_false += c.get((False, True, i), 0)
+            p_value = binomial_tail(n_false, n_good[stratum], max_rejection)
+            if p_value > error / tests:
+                break
+            found[feature] = cutoff
+            if won := c.get((True, False, i), 0):  # steps at the end that win nothing are not taken
+                bad_found += won
+                taken, best = dict(found), (n_good[stratum], n_false, bad_found, p_value)
+        out += [(stratum, feature, float(cutoff), *best) for feature, cutoff in taken.items()] or [(stratum, *[None] * 6)]
+    return spark.createDataFrame(out, "stratum string, feature string, cutoff double, n_good bigint, n_false bigint, bad_found bigint, p_value double")
 
 
 def judged(measures: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
 import os
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from tidemark import catalog
+from tidemark.operators import scores
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +40,22 @@ def test_query(spark, duck, name):
     rel = duck.sql(catalog.SQL[name])
     assert sorted(rel.columns) == sorted(df.columns)
     assert got == rows_of(rel.columns, rel.fetchall())
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_bootstrap_takes_all_days(spark):
+    """Against the plain bootstrap: whole blocks, then the tail block, 2,000 draws over all days from seed 42."""
+    daily = scores.daily_losses(catalog.returns(spark, DATA), ["series"]).collect()
+    first, n = min(r.day for r in daily), max(r.day for r in daily) - min(r.day for r in daily) + 1
+    losses = {s: [0.0] * n for s in {r.series for r in daily}}
+    for r in daily:
+        losses[r.series][r.day - first] = r.abs_loss
+    rng, want, tail = random.Random(42), {}, n % 7
+    for draw in range(2000):
+        starts = [rng.randrange(n - 7 + 1) for _ in range(n // 7)]
+        last = rng.randrange(n - tail + 1) if tail else 0
+        for s, x in losses.items():
+            want[s, draw] = sum(sum(x[i : i + 7]) for i in starts) + sum(x[last : last + tail])
+    got = {(r.series, r.draw): r.loss for r in catalog.QUERIES["j15_bootstrap"](spark, DATA).collect()}
+    assert tail and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)

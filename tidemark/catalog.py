@@ -552,8 +552,11 @@ def j13_volatility(spark: SparkSession, sf: str) -> DataFrame:
 def j15_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Paired moving-block bootstrap of daily losses; the draws come from the seed, so the result is fixed."""
     d = scores.daily_losses(returns(spark, sf), ["series"])
-    index = d.select("series", F.dense_rank().over(W.partitionBy("series").orderBy("day")).alias("rank"), F.col("abs_loss").alias("loss")).select("series", (F.col("rank") - 1).alias("day"), "loss")
-    return scores.bootstrap(index, scores.draws(spark, 28, 7, 200), 7)
+    first, days = d.agg(F.min("day"), F.coalesce(F.max("day") - F.min("day") + 1, F.lit(0))).first()
+    # all series over all days, as the draws are shared; a day without cases adds nothing
+    grid = d.select("series").distinct().select("series", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(days - 1, 0)).cast("bigint"))).alias("day"))
+    index = grid.join(d.select("series", (F.col("day") - F.lit(first)).alias("day"), "abs_loss"), ["series", "day"], "left").select("series", "day", F.coalesce("abs_loss", F.lit(0.0)).alias("loss"))
+    return scores.bootstrap(index, scores.draws(spark, days, 7), 7)
 
 
 @query(with_(BARS_SQL, RET_SQL + """, t AS (SELECT series AS name, round(abs(avg(target)) * 100, 6) AS p FROM p GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS rank, count(*) OVER () AS m FROM t)

@@ -145,13 +145,16 @@ def holm(tests: DataFrame, level: float = 0.05) -> DataFrame:
 
 
 def draws(spark: SparkSession, days: int, length: int, count: int = 2000, seed: int = 42) -> DataFrame:
-    """(draw, start, take): moving blocks that sum to ``days`` days; count * days / length rows at most."""
+    """(draw, start, take): moving blocks that sum to ``days`` days, the last one a tail that may start at any day
+    from which it fits; about count * days / length rows."""
     rng = random.Random(seed)
+    length = min(length, days)
     rows = []
     for draw in range(count):
         left = days
         while left > 0:
-            rows.append((draw, rng.randrange(days - length + 1), min(length, left)))
+            take = min(length, left)
+            rows.append((draw, rng.randrange(days - take + 1), take))
             left -= length
     return spark.createDataFrame(rows, "draw int, start int, take int")
 

@@ -59,3 +59,11 @@ def test_bootstrap_takes_all_days(spark):
     got = {(r.series, r.draw): r.loss for r in catalog.QUERIES["j15_bootstrap"](spark, DATA).collect()}
     assert tail and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_compared_streams_differ(spark):
+    """The comparison has rows, and one stream scored truths that the other did not."""
+    got = {r.horizon: r.n for r in catalog.QUERIES["k10_compare_risen"](spark, DATA).collect()}
+    assert len(got) > 1 and 0 < got[None] < catalog.returns(spark, DATA).count()
+    assert got[None] == sum(n for h, n in got.items() if h is not None)

@@ -1,50 +1,47 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is the set of its word n-grams. The global n-gram order puts rare n-grams first: its key is
-the (quantised) count of the n-gram's hash bucket, then the hash. The order is cut into fragments of about
-equal mass. The work runs in these steps, none of which meets all pairs of a group:
-
-1. One pass over the texts gives each document's set size and class (equal sets share a class) and bucket
-   counts, which are summed block by block; the table of the order has 2**order_bits bytes at any input size.
-2. A second pass emits each set's prefix, its first n - ceil(t * n) + k n-grams, k = min(COMMON, ceil(t * n)):
-   two sets that reach the threshold t share the lesser k of n-grams in both prefixes. N-grams of one class only
-   go at once.
-3. Each class is compared with two leaders only (of those it shares most prefix n-grams with, the one of
-   least and the one of greatest class); links become components. Classes that still share a prefix n-gram with
-   another component have such a round again, with other leaders (``stars`` rounds).
-4. Only pairs that share enough prefix n-grams but lie in different components are then compared as well, so no
-   link is lost. Sets that must overlap in v of n and m n-grams share their first common one within the first
-   n - v + 1 and m - v + 1 places, and the parities of their bits differ in n + m - 2v places at most; the join keeps
-   such meetings only. Then what both prefixes share must reach what
-   v needs beyond all that can lie behind the prefix that ends first: as n-grams that an edit made are rare and come
-   first, pairs below the threshold mostly fail at these two bounds.
+A document is the set of its word n-grams. The global n-gram order is that of the n-grams' scrambled hashes, which
+any cut divides into fragments of even mass. Equal sets form one class, and classes are compared:
+
+1. Candidates. Two sets of n and m n-grams that reach the threshold differ in at most D n-grams, where D follows from
+   n and m. The order is cut into more than D fragments, so both sets have the very same n-grams in one of them at
+   least. One scan of the texts writes each class's set size, a sketch of parities and a signature (64 bits) for each
+   fragment. Sizes are divided into ranges so that partners lie in one range or in neighbouring ones; the number of
+   fragments belongs to a range, and a set has signatures for its own range and the one below. Some fragments have
+   no n-gram of a set and so no signature; there are ``spare`` fragments more than D for that, and a set with more
+   empty ones has signatures by a second order as well, and so on: a pair is found by the first order in which one
+   of the two has few enough.
+2. Stars. Signatures of one class only go. Around each other one, classes are compared with a single leader, the
+   class that shares most signatures: copies of one text hang on the copy with the fewest edits. Links make components.
+3. Rest. Classes that share a signature but lie in different components are compared too, so no link is lost; what
+   their parities rule out (they differ in at most D places) goes within the join.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
 Rows with a null id, without words or without text link with nothing (a null id has a null component).
-Rows that repeat an id are judged each by its own text and share the component. Hashes have 64 bits; the
-chance that two different sets share a class is (number of sets)**2 / 2**65.
+Rows that repeat an id are judged each by its own text and share the component. Other columns are not looked at.
+Hashes have 64 bits; the chance that two different sets share a class is (number of sets)**2 / 2**65.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidemark.llm.shared import bit_of, bit_table, bounded_batches, components, durable, mixed, summed, texts_of, window_hashes, word_hashes
+from tidemark.llm.shared import bit_table, bounded_batches, components, discard, durable, mixed, texts_of, window_hashes, word_hashes
 
-BLOCK = 4096
-#: Prefixes are so much longer that pairs which share fewer n-grams need no comparison.
-COMMON = 8
 #: Words of 64 parity bits for each set: two sets differ in as many n-grams at least as in parities.
 PARITY = [f"p{k}" for k in range(4)]
+#: Mixed into the hashes to get the next global order.
+NEXT_ORDER = np.uint64(0xD6E8FEB86659FD93)
+#: A task remembers so many classes whose signatures it has written.
+REMEMBERED = 100_000
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -66,89 +63,109 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
-def set_rows(docs: DataFrame, n: int, order_bits: int) -> DataFrame:
-    """A row (doc_id, n, cls, parities) for each document and rows (block, counts) with a task's bucket counts."""
+def fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of the global order in which each n-gram lies."""
+    return np.minimum((hashes.astype(np.float64) * (fragments / 2.0**64)).astype(np.int64), fragments - 1)
+
+
+class SizeRanges:
+    """Ranges of set sizes: a set's partners lie in its own range or in a neighbouring one."""
+
+    def __init__(self, percent: int):
+        self.percent, self.starts = percent, [1]
+
+    def of(self, size: int) -> int:
+        while self.starts[-1] <= size:
+            self.starts.append((self.starts[-1]) * 100 // self.percent + 1)
+        lo, hi = 0, len(self.starts)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if self.starts[mid] <= size else (lo, mid)
+        return lo
+
+    def cut(self, k: int) -> tuple[int, int]:
+        """(fragments, spare ones) for the range k and the one above it; no fragment where only equal sets reach the threshold."""
+        self.of(self.starts[-1])
+        largest = self.starts[k + 1] - 1
+        most = largest + largest * 100 // self.percent
+        differ = max(s - 2 * -(-self.percent * s // (100 + self.percent)) for s in range(max(2, most - 40), most + 1))
+        if differ <= 0:
+            return 0, 0
+        spare = math.ceil(2 * (differ + 1) * math.exp(-self.starts[k] / (differ + 1)))
+        return differ + 1 + spare, spare
+
+
+class Signatures:
+    """The signatures of a set, see the module."""
+
+    def __init__(self, percent: int):
+        self.ranges, self.cuts = SizeRanges(percent), {}
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        own, out = self.ranges.of(len(hashes)), []
+        for k in (own, own - 1):
+            if k not in self.cuts:
+                self.cuts[k] = self.ranges.cut(k) if k >= 0 else (0, 0)
+            fragments, spare = self.cuts[k]
+            order, turn = hashes, 0
+            while fragments:
+                where = fragment(order, fragments)
+                begin = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
+                with np.errstate(over="ignore"):
+                    name = where[begin].astype(np.uint64) * np.uint64(2**20) + np.uint64(k * 64 + turn)
+                    out.append(mixed(np.add.reduceat(mixed(order + NEXT_ORDER), begin) ^ mixed(name)))
+                    if fragments - len(begin) <= spare:
+                        break
+                    order, turn = np.sort(mixed(order ^ NEXT_ORDER)), turn + 1
+        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
+def scanned(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row_key, n, cls, parities and sigs of docs(doc_id, row_key, text); sigs is null where the task has given the class's already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << order_bits, np.int64)
-        shift = np.uint64(64 - order_bits)
+        signatures, seen = Signatures(percent), set()
         for batch in batches:
-            sizes, classes, odd = [], [], []
-            for text in texts_of(batch):
+            sizes, classes, odd, sigs = [], [], [], []
+            for text, there in zip(texts_of(batch), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 s = shingle_set(text, n)
+                cls = set_class(s) if len(s) else None
                 sizes.append(len(s))
                 odd.append(parities(s))
-                classes.append(set_class(s) if len(s) else None)
-                np.add.at(counts, (s >> shift).astype(np.int64), 1)
-            size = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(size, len(PARITY)).T)], names)
-        blocks = counts.reshape(-1, min(BLOCK, 1 << order_bits))
-        used = [int(i) for i in np.flatnonzero(blocks.any(axis=1))]
-        task = TaskContext.get().partitionId()
-        size = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array([task] * size, pa.int32()), pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary()), *(pa.nulls(size, pa.int64()) for _ in PARITY)], names)
-
-    names = ["doc_id", "n", "cls", "task", "block", "counts", *PARITY]
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, task int, block int, counts binary, " + ", ".join(f"{p} bigint" for p in PARITY))
-
-
-class GlobalOrder:
-    """Rare first: the level of an n-gram's bucket (four levels a doubling of its count), then its hash."""
-
-    def __init__(self, counts: np.ndarray, order_bits: int, fragments: int):
-        levels = np.minimum(255, np.ceil(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
-        mass = np.bincount(levels, weights=counts, minlength=256)
-        self.levels, self.shift, self.fragments = levels, np.uint64(64 - order_bits), fragments
-        self.below = (np.cumsum(mass) - mass) / max(mass.sum(), 1)
-        self.width = mass / max(mass.sum(), 1)
-
-    def sorted(self, hashes: np.ndarray) -> np.ndarray:
-        """Ascending hashes put into the global order."""
-        return hashes[np.argsort(self.levels[(hashes >> self.shift).astype(np.int64)], kind="stable")]
+                classes.append(cls)
+                if cls is None or not there or cls in seen:
+                    sigs.append(None)
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(cls)
+                sigs.append(signatures.of(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(len(sizes), len(PARITY)).T), pa.array(sigs, pa.list_(pa.int64()))], names)
 
-    def fragment(self, hashes: np.ndarray) -> np.ndarray:
-        """The fragment of the global order in which each n-gram lies."""
-        level = self.levels[(hashes >> self.shift).astype(np.int64)]
-        place = self.below[level] + self.width[level] * (mixed(hashes).astype(np.float64) / 2.0**64)
-        return np.minimum((place * self.fragments).astype(np.int64), self.fragments - 1)
+    names = ["doc_id", "row_key", "n", "cls", *PARITY, "sigs"]
+    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, cls bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", sigs array<bigint>")
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """key, cls, n, pos: the n-grams in each set's prefix and their places. A task emits an equal set once as long as it remembers it."""
+def signature_rows(scan: DataFrame, table) -> DataFrame:
+    """sig, cls, n: the signatures that the bit table lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = order.value
-        seen: set[int] = set()
         for batch in batches:
-            keys, classes, sizes = [], [], []
-            for text in texts_of(batch):
-                s = shingle_set(text, n)
-                if not len(s) or (cls := set_class(s)) in seen:
-                    continue
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.add(cls)
-                size = len(s)
-                least = (percent * size + 99) // 100
-                keys.append(held.sorted(s)[: size - least + min(COMMON, least)])
-                classes.append(cls)
-                sizes.append(size)
-            many = [len(k) for k in keys]
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in many]) if keys else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(pos)], ["key", "cls", "n", "pos"])
+            lists = batch.column("sigs")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = table.value.has(flat)
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("cls").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["sig", "cls", "n"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "key bigint, cls bigint, n int, pos int")
+    return scan.where("sigs is not null").select("cls", "n", "sigs").mapInArrow(run, "sig bigint, cls bigint, n bigint")
 
 
-def segments(docs: DataFrame, n: int, order, wanted) -> DataFrame:
+def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
     """cls, frag, grams: the fragments of the sets whose documents' ids ``wanted`` (a bit table) lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = order.value, wanted.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.flatnonzero(bits[bit_of(ids, len(bits))])
+            hit = np.flatnonzero(wanted.value.has(batch.column("doc_id").to_numpy(zero_copy_only=False)))
             if not len(hit):
                 continue
             classes, frags, grams = [], [], []
@@ -156,16 +173,14 @@ def segments(docs: DataFrame, n: int, order, wanted) -> DataFrame:
                 s = shingle_set(text, n)
                 if not len(s):
                     continue
-                cls, where = set_class(s), held.fragment(s)
-                by = np.argsort(where, kind="stable")
-                cuts = np.flatnonzero(np.diff(where[by])) + 1
-                for part in np.split(by, cuts):
+                cls, where = set_class(s), fragment(s, fragments)
+                for part in np.split(np.arange(len(s)), np.flatnonzero(np.diff(where)) + 1):
                     classes.append(cls)
                     frags.append(int(where[part[0]]))
                     grams.append(s[part].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(frags, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["cls", "frag", "grams"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "cls bigint, frag int, grams array<bigint>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "cls bigint, frag int, grams array<bigint>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,85 +192,88 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16, order_bits: int = 20, bits: int = 23, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    bounded_batches(docs)
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    scan = durable(set_rows(docs, n, order_bits), "ngram-sets")
-    tasks = scan.agg(F.coalesce(F.max("task"), F.lit(0)) + 1).first()[0]
-    counts = np.zeros((max(1, (1 << order_bits) // BLOCK), min(BLOCK, 1 << order_bits)), np.int64)
-    for row in summed(scan.where("block is not null"), tasks).toLocalIterator():
-        counts[row.block] = np.frombuffer(row.counts, np.int64)
-    order = spark.sparkContext.broadcast(GlobalOrder(counts.reshape(-1), order_bits, fragments))  # 2**order_bits bytes
-    rows = scan.where("block is null").select("doc_id", "n", "cls", *PARITY)
-
-    by_key = W.partitionBy("key")
-    shared = prefixes(docs, n, percent, order).withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)}).where("lo <> hi").distinct()
-    shared = durable(shared, "ngram-shared")
+def alike(percent: int) -> Column:
+    """Sizes and parities of the sides na, p0.. and nb, p0_2.. allow the threshold."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITY), F.lit(0))
+    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= F.col("na") + F.col("nb") - 2 * overlap)
 
-    known = rows.where("doc_id is not null and cls is not null")
-    firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.min(p).alias(p) for p in PARITY]), "ngram-firsts")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The fragments of the pairs' sets only, from the texts."""
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, firsts, groups) of docs(doc_id, text[, row_key]), all durable.
+
+    rows: doc_id, row_key, n, cls for each row; firsts: cls, doc_id (least), n, parities for each class that has an
+    id; groups: cls, component (a class) for each class that links with another one.
+    """
+    spark = docs.sparkSession
+    bounded_batches(docs)
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"), text.alias("text"))
+    scan = durable(scanned(docs, n, percent), "ngram-sets")
+    known = scan.where("doc_id is not null and cls is not null")
+    firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
+    common = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls").groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"))
+    common = durable(common.where("lo <> hi").select("sig", "many"), "ngram-common")
+    table = spark.sparkContext.broadcast(bit_table(common.select("sig")))
+    shared = durable(signature_rows(known, table).join(common, "sig").distinct(), "ngram-shared")
+    table.destroy()
+    rows = durable(scan.select("doc_id", "row_key", "n", "cls"), "ngram-rows")
+    discard(scan)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among the durable pairs; their sets come from the texts."""
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = spark.sparkContext.broadcast(bit_table(firsts.join(ends, "cls").select("doc_id"), bits))  # 2**bits bytes
-        return segments(docs, n, order, wanted).join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"])
-
-    sizes = shared.select(F.col("cls").alias("other"), F.col("n").alias("m")).distinct()
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("cls") != F.col("other"))
-    due = F.least(F.lit(COMMON), F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({percent} * m + 99) div 100"))
-
-    # what both prefixes share, plus all that may lie behind the prefix that ends first, must reach the overlap due
-    alpha = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    behind = F.expr(f"({percent} * greatest(n, m) + 99) div 100")
-    enough = F.greatest(due, alpha - behind + F.least(F.lit(COMMON), behind))
-    early = (F.col("pos") <= F.col("n") - alpha) & (F.col("pos2") <= F.col("m") - alpha)
-
-    def leaders(rows: DataFrame, side: str) -> DataFrame:
-        votes = rows.groupBy("cls", "n", F.col(side).alias("other")).count().where("cls <> other").join(sizes, "other").where(near)
-        return votes.groupBy("cls", "n").agg(F.max_by(F.struct("other", "m"), F.struct("count", "other")).alias("x"), F.max("count").alias("count")).select("cls", "n", "x.other", "x.m", "count").where(F.col("count") >= due).drop("count")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        up = F.col("cls") < F.col("other")
-        pick = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
-        return pairs.select(pick("cls", "other").alias("a"), pick("n", "m").alias("na"), pick("other", "cls").alias("b"), pick("m", "n").alias("nb")).distinct()
-
-    apart, links, compared = shared, None, None
-    for k in range(stars):
-        first = ordered(leaders(apart, "lo").union(leaders(apart, "hi")))
-        first = durable(first if compared is None else first.join(compared, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "ngram-stars")
-        fresh = linked(first, sets_of(first), percent)
-        links = durable(fresh if links is None else links.union(fresh), "ngram-links")
-        compared = first.select("a", "b") if compared is None else compared.union(first.select("a", "b"))
-        groups = components(links).select(F.col("node").alias("cls"), "component")
-        placed = shared.select("key", "cls", "n", "pos").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        # other leaders in each round: classes in the order of a hash
-        mark = F.struct(F.xxhash64("cls", F.lit(k)), "cls")
-        over = {"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "lo": F.min(mark).over(by_key)["cls"], "hi": F.max(mark).over(by_key)["cls"]}
-        apart = durable(placed.withColumns(over).where("x <> y").select("key", "cls", "n", "pos", "component", "lo", "hi"), "ngram-apart")
-    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITY), F.lit(0))
-    alike = differ <= F.col("n") + F.col("m") - 2 * alpha
-    marked = apart.join(firsts.select("cls", *PARITY), "cls").select("key", "cls", "n", "pos", "component", *PARITY)
-    other = marked.select("key", *[F.col(p).alias(f"{p}_2") for p in PARITY], F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    met = marked.join(other, "key").where((F.col("component") < F.col("component2")) & near & early & alike)
-    met = durable(met.select("cls", "n", "other", "m").distinct(), "ngram-met")
-    # a key that sets of two components share is in apart: no common prefix n-gram is missing here
-    held = met.select("cls").union(met.select("other")).distinct()
-    held = apart.join(held, "cls", "left_semi").groupBy("cls").agg(F.collect_set("key").alias("keys"))
-    sharing = met.join(held, "cls").join(held.select(F.col("cls").alias("other"), F.col("keys").alias("keys2")), "other")
-    rest = sharing.where(F.size(F.array_intersect("keys", "keys2")) >= enough)
-    rest = durable(ordered(rest.select("cls", "n", "other", "m")).join(compared, ["a", "b"], "left_anti"), "ngram-rest")
-    more = linked(rest, sets_of(rest), percent)
+        ids = durable(firsts.join(ends, "cls").select("doc_id"), "ngram-wanted")
+        wanted = spark.sparkContext.broadcast(bit_table(ids))
+        out = durable(linked(pairs, segments(docs, n, wanted, fragments).join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), percent), "ngram-links")
+        wanted.destroy()
+        discard(ids)
+        return out
+
+    weight = shared.groupBy("cls").agg(F.sum("many").alias("weight"))
+    leader = shared.join(weight, "cls").groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("weight", "cls")).alias("x"))
+    stars = shared.join(leader.select("sig", F.col("x.cls").alias("b"), F.col("x.n").alias("nb")), "sig").where("cls <> b").select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
+    marks = [F.col(p).alias(f"{p}_2") for p in PARITY]
+    stars = stars.join(firsts.select(F.col("cls").alias("a"), *PARITY), "a").join(firsts.select(F.col("cls").alias("b"), *marks), "b")
+    stars = durable(stars.where(alike(percent)).select("a", "na", "b", "nb"), "ngram-stars")
+    links = compared(stars)
+    groups = durable(components(links).withColumnRenamed("node", "cls"), "ngram-groups")
+    discard(links)
+
+    # what shares a signature across components
+    placed = shared.select("sig", "cls", "n").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    apart = placed.join(apart, "sig").join(firsts.select("cls", *PARITY), "cls")
+    apart = durable(apart.select("sig", "cls", "n", "component", *PARITY), "ngram-apart")
+    one = apart.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), "component", *PARITY)
+    two = apart.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("component2"), *marks)
+    met = one.join(two, (one["sig"] == two["sig"]) & (F.col("component") < F.col("component2")) & alike(percent)).select("a", "na", "b", "nb").distinct()
+    turned = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    rest = durable(met.join(stars.select("a", "b").union(turned), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "ngram-rest")
+    more = compared(rest)
+    return rows, firsts, regrouped(groups, more)
+
+
+def regrouped(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """groups(cls, component) with the links more(a, b) added."""
+    if more.isEmpty():
+        return groups
+    of = lambda c: groups.select(F.col("cls").alias(c), F.col("component").alias(f"{c}_in"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    wider = components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    all_ = groups.union(ends.select("a", F.coalesce("a_in", "a"))).union(ends.select("b", F.coalesce("b_in", "b"))).distinct()
+    return durable(all_.join(wider, "component", "left").select("cls", F.coalesce("wider", "component").alias("component")), "ngram-groups")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of docs(doc_id, text)."""
+    rows, firsts, groups = grouped(docs, n, percent, fragments)
     # rows that repeat an id lie together
+    known = rows.where("doc_id is not null and cls is not null")
     repeated = known.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id", "lo")
-    own = known.join(repeated, "doc_id").select(F.col("cls").alias("a"), F.col("lo").alias("b"))
-    links = durable(links.union(more).union(own), "ngram-links")
-
+    groups = regrouped(groups, durable(known.join(repeated, "doc_id").select(F.col("cls").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct(), "ngram-own"))
     # from classes to documents: the least id of a class, then of a component
-    groups = components(links)
-    of_class = firsts.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    of_class = firsts.select("cls", "doc_id").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_class = of_class.join(least, "component").select("cls", "least")
     out = rows.join(of_class, "cls", "left")  # a class of very many rows is split by adaptive execution

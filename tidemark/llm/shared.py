@@ -8,6 +8,7 @@ exactly these six).
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words, for Java regular expressions and ``trim``.
@@ -38,13 +39,15 @@ def bounded_batches(df: DataFrame) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is taken.
+    Only where the session names none and runs on one machine (tests) a temporary folder is taken.
     """
     context = spark.sparkContext
     there = context._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -147,32 +150,47 @@ def summed(blocks: DataFrame, tasks: int, kind: type = np.int64, plus: np.ufunc
     return part.select("block", "task", "counts").groupBy("block", "task").applyInArrow(add, schema)
 
 
-#: Flags of a bit table that travel together.
-BIT_BLOCK = 32_768
+class BitTable:
+    """Flags of 64-bit ids, packed: an id that was put in is always found, another one seldom."""
 
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.size = packed, np.uint64(8 * len(packed))
 
-def bit_of(ids: np.ndarray, size: int) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+    def __contains__(self, id_: int) -> bool:
+        return bool(self.has(np.array([id_], np.int64))[0])
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = mixed(ids.astype(np.int64).view(np.uint64)) % self.size
+        return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
-def bit_table(ids: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits flags that has the bit of every id set; ids is a single column. Its size is fixed."""
-    size = 1 << bits
+
+#: Bytes of a bit table that travel together, and the most bits of a table (16 MB).
+BIT_BLOCK, MOST_BITS = 8192, 27
+
+
+def bit_table(ids: DataFrame) -> BitTable:
+    """A table that has the bit of every id set; ids is a single column of a durable table, which is counted first.
+
+    There are 16 flags or more for an id up to 2**MOST_BITS flags; a table that fills up beyond that lets more
+    ids through than were put in, and what reads it checks them anyway.
+    """
+    bits = min(MOST_BITS, max(19, (16 * ids.count()).bit_length()))
+    size = 1 << bits - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(size, bool)
+        have = np.zeros(size, np.uint8)
         for batch in batches:
-            have[bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)] = True
-        blocks = have.reshape(-1, min(BIT_BLOCK, size))
+            at = np.unique(mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(8 * size))
+            np.bitwise_or.at(have, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        blocks = have.reshape(-1, BIT_BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(blocks[i]).tobytes() for i in used], pa.binary())], ["block", "have"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "have"])
 
-    parts = ids.mapInArrow(run, "block int, have binary")
-    whole = parts.groupBy("block").applyInArrow(united, "block int, have binary")
-    out = np.zeros((size // min(BIT_BLOCK, size), min(BIT_BLOCK, size)), bool)
+    whole = ids.mapInArrow(run, "block int, have binary").groupBy("block").applyInArrow(united, "block int, have binary")
+    out = np.zeros((size // BIT_BLOCK, BIT_BLOCK), np.uint8)
     for row in whole.toLocalIterator():
-        out[row.block] = np.unpackbits(np.frombuffer(row.have, np.uint8))[: out.shape[1]]
-    return out.reshape(-1)
+        out[row.block] = np.frombuffer(row.have, np.uint8)
+    return BitTable(out.reshape(-1))
 
 
 def united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +212,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return spread.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps, each two aggregations and joins; the edge list goes to a
-    durable table after each round. A hub's edges are never gathered: its minimum is an aggregate, and the join
-    with it is one that adaptive execution can split. Rows with a null end or equal ends are ignored.
+    Alternating large-star and small-star steps, each two aggregations and joins, until a round changes nothing;
+    the edge list goes to a durable table after each round, and counts observed while it is written tell whether
+    it changed. A hub's edges are never gathered: its minimum is an aggregate, and the join with it is one that
+    adaptive execution can split. Rows with a null end or equal ends are ignored.
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
@@ -213,17 +232,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
         return out.where("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = durable(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return out, (seen.get["n"], seen.get["sum"])
 
-    e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(e)
-    for _ in range(rounds):
-        nxt = durable(step(step(e, True), False), "edges")
-        now = mark(nxt)
+    e, before = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while before[0]:
+        nxt, now = kept(step(step(e, True), False))
         discard(e)
         e = nxt
-        if now == seen:
+        if now == before:
             break
-        seen = now
+        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())

@@ -6,7 +6,7 @@ Benchmark items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is
    are lower-cased and stripped of punctuation), counts document frequencies and sketches in how many different
    contexts (pairs of neighbours) a word stands;
 2. passages of 32 words are rows of a TF-IDF matrix A over the block's words (words in more than ``max_df`` of
-   the documents weigh nothing here). Its randomised SVD is distributed: tasks sum up A'(A Omega) and, for its
+   the documents, and 20 at least, weigh nothing here). Its randomised SVD is distributed: tasks sum up A'(A Omega) and, for its
    orthonormal basis Q, the small (AQ)'(AQ), whose eigenvectors turn Q into right singular vectors;
 3. windows of 32 words, 16 apart, and items are projected and each dimension is divided by its singular value, or
    else the language of the words around would drown the item; an item is a candidate where the cosine reaches
@@ -18,7 +18,10 @@ Benchmark items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is
    third) is there as well; the same share of the item's telling words must be there in order, for
    paraphrases four of them at least. An item with less than four such words must be there almost wholly (0.95).
 
-Null texts count as empty. An item with fewer than ``least_words`` words is no query.
+Null texts and items count as empty. An item with fewer than ``least_words`` words is no query; one longer than a
+block is cut into several with its id. Rows are told apart by id (null is one too) and text: rows that repeat both
+give one result, those that repeat an id are judged each. The best of several places in a text is reported. An empty
+table on either side gives no leak. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import CACHE_WORDS, MULTIPLIERS, bounded_batches, discard, durable, in_groups, mixed, summed, texts_of
+from tidemark.llm.shared import CACHE_WORDS, MULTIPLIERS, bounded_batches, discard, durable, in_groups, keyed, mixed, summed, texts_of, without
 
 BLOCK_WORDS = 60_000
 STEP = 16
@@ -78,23 +81,29 @@ def contexts(registers: np.ndarray) -> np.ndarray:
     return np.where((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), raw)
 
 
-def item_blocks(benchmark: DataFrame, least_words: int) -> Iterator[tuple[dict[bytes, int], list[tuple[int, np.ndarray, np.ndarray]]]]:
-    """(places of words, [(item_id, places, places of the answer)]) for blocks of bounded size."""
+def item_blocks(benchmark: DataFrame, least_words: int, block_words: int = BLOCK_WORDS) -> Iterator[tuple[dict[bytes, int], list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """(places of words, [(item_id, places, places of the answer)]) for blocks of at most ``block_words`` words.
+
+    A longer item becomes several queries with its id; all of about the same length.
+    """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     places: dict[bytes, int] = {}
     items: list = []
     total = 0
     for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).orderBy("item_id", "text").toLocalIterator():
-        words = [normal(w) for w in (row.text or "").encode().split()]
-        if len(words) < least_words or len(words) > BLOCK_WORDS:
+        whole = [normal(w) for w in (row.text or "").encode().split()]
+        if len(whole) < least_words:
             continue
-        if total + len(words) > BLOCK_WORDS:
-            yield places, items
-            places, items, total = {}, [], 0
-        total += len(words)
-        at = np.array([places.setdefault(w, len(places) + 1) for w in words], np.uint16)
-        said = [places[w] for w in map(normal, (row.answer or "").encode().split()) if w in places]
-        items.append((row.item_id, at, np.array(said, np.uint16) if said else at[-max(3, len(at) // 3) :]))
+        parts = -(-len(whole) // block_words)
+        cuts = [len(whole) * k // parts for k in range(parts + 1)]
+        for words in (whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)):
+            if total + len(words) > block_words and items:
+                yield places, items
+                places, items, total = {}, [], 0
+            total += len(words)
+            at = np.array([places.setdefault(w, len(places) + 1) for w in words], np.uint16)
+            said = [places[w] for w in map(normal, (row.answer or "").encode().split()) if w in places]
+            items.append((row.item_id, at, np.array(said, np.uint16) if said else at[-max(3, len(at) // 3) :]))
     if items:
         yield places, items
 
@@ -160,10 +169,21 @@ def stretches(batch: pa.RecordBatch, most_words: int = 400_000) -> Iterator[tupl
         yield slice(at, len(raw)), Stretch(raw[at:])
 
 
+#: Bytes of an array that are summed together: many tasks share in the sum of a large one.
+SUM_BYTES = 1 << 20
+
+
+def in_blocks(array: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's array as rows (task, block, counts)."""
+    raw, task = array.tobytes(), TaskContext.get().partitionId()
+    for block, at in enumerate(range(0, len(raw), SUM_BYTES)):
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([raw[at : at + SUM_BYTES]], pa.binary())], ["task", "block", "counts"])
+
+
 def total_of(rows: DataFrame, tasks: int, kind: type, shape: tuple, add: np.ufunc = np.add) -> np.ndarray:
-    """The sum of the tasks' arrays, whose size is bounded by the block's words."""
-    found = summed(rows.select("task", F.lit(0).alias("block"), "counts"), tasks, kind, add).collect()
-    return np.frombuffer(found[0].counts, kind).reshape(shape) if found else np.zeros(shape, kind)
+    """The sum of the tasks' arrays (task, block, counts), whose size is bounded by the block's words."""
+    found = sorted((r.block, bytes(r.counts)) for r in summed(rows.select("task", "block", "counts"), tasks, kind, add).toLocalIterator())
+    return np.frombuffer(b"".join(x for _, x in found), kind).reshape(shape) if found else np.zeros(shape, kind)
 
 
 def over_passages(texts: DataFrame, idf, vectors, gram: bool, tasks: int) -> np.ndarray:
@@ -189,9 +209,9 @@ def over_passages(texts: DataFrame, idf, vectors, gram: bool, tasks: int) -> np.
                     rows = sums[passage]
                     for c in range(width):
                         out[:, c] += np.bincount(ids, weights=rows[:, c], minlength=words)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([(out if gram else weight[:, None] * out).tobytes()], pa.binary())], ["task", "counts"])
+        yield from in_blocks(out if gram else weight[:, None] * out)
 
-    return total_of(texts.select("ids").mapInArrow(run, "task int, counts binary"), tasks, np.float64, (width, width) if gram else (words, width))
+    return total_of(texts.select("ids").mapInArrow(run, "task int, block int, counts binary"), tasks, np.float64, (width, width) if gram else (words, width))
 
 
 def common_subsequence(masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -294,7 +314,7 @@ def searched(texts: DataFrame, items, projection, telling, cosine: float, ratio:
     return texts.select("doc_id", "row_key", "ids").mapInArrow(run, "doc_id bigint, row_key bigint, item_id bigint, lcs bigint, ratio double, cosine double")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16, cosine: float = 0.25, ratio: float = 0.75, loose: float = 0.5, answer: float = 0.8, max_df: float = 0.03, least_words: int = 8, seed: int = 1) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16, cosine: float = 0.25, ratio: float = 0.75, loose: float = 0.5, answer: float = 0.8, max_df: float = 0.03, least_words: int = 8, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, row_key (xxhash64 of the text), item_id, lcs, ratio, cosine: a row for each pair of a text and an item in it."""
     spark = docs.sparkSession
     bounded_batches(docs)
@@ -302,16 +322,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     out = None
-    for places, items in item_blocks(benchmark, least_words):
+    for places, items in item_blocks(benchmark, least_words, block_words):
         rows = durable(placed(docs, send(places)), "leak-places")
         texts, counts = rows.where("ids is not null"), rows.where("counts is not null")
         tasks = counts.agg(F.coalesce(F.max("task"), F.lit(0)) + 1).first()[0]
-        df = total_of(counts, tasks, np.int64, (len(places) + 1,))
+        df = total_of(counts.withColumn("block", F.lit(0)), tasks, np.int64, (len(places) + 1,))
         n_docs = max(int(texts.count()), 1)
         idf = np.log((1 + n_docs) / (1 + df))
         most = max(max_df * n_docs, 20)
         idf[df > most] = 0
-        telling = (df <= most) | (contexts(total_of(counts.select("task", F.col("registers").alias("counts")), tasks, np.uint8, (len(places) + 1, REGISTERS), np.maximum)) <= most)
+        telling = (df <= most) | (contexts(total_of(counts.select("task", F.lit(0).alias("block"), F.col("registers").alias("counts")), tasks, np.uint8, (len(places) + 1, REGISTERS), np.maximum)) <= most)
         telling[0] = False
         idf[0] = 0
         width = min(rank + extra, len(places))
@@ -330,6 +350,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 80, extra: int = 16
     return out.groupBy("doc_id", "row_key", "item_id").agg(F.max("lcs").alias("lcs"), F.max("ratio").alias("ratio"), F.max("cosine").alias("cosine"))
 
 
+def cleaned(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """docs without the rows that leak an item; rows are told apart by id and text, all columns stay, whatever their names."""
+    found = durable(leaks(docs, items, **options).select("doc_id", "row_key").distinct(), "leak-rows")
+    return without(keyed(docs), found).select("row.*")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", "lcs", F.round("ratio", 4).alias("ratio"))

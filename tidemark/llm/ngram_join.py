@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bit_table, bounded_batches, components, discard, durable, mixed, texts_of, window_hashes, word_hashes
+from tidemark.llm.shared import bit_table, bounded_batches, components, discard, durable, joined_rows, keyed, mixed, parted, texts_of, window_hashes, word_hashes
 
 #: Words of 64 parity bits for each set: two sets differ in as many n-grams at least as in parities.
 PARITY = [f"p{k}" for k in range(4)]
@@ -280,5 +280,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, fragments: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the least (doc_id, hash of the text).
+
+    Rows that repeat id and text count once. Rows that repeat an id with other texts are judged each. Rows with a null
+    id stay, as do null and empty texts (but for repeats). All columns stay, whatever their names.
+    """
+    rows, _, groups = grouped(docs, n, percent)
+    known = rows.where("doc_id is not null")
+    placed = known.where("cls is not null").join(groups, "cls", "left").select("doc_id", "row_key", F.coalesce("component", "cls").alias("component"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    gone = durable(placed.join(first, "component").where(F.struct("doc_id", "row_key") != F.col("first")).select("doc_id", "row_key").distinct(), "ngram-gone")
+    again = durable(known.groupBy("doc_id", "row_key").count().where("count > 1").select("doc_id", "row_key"), "ngram-again")
+    sure, maybe = parted(keyed(docs), durable(gone.union(again).distinct(), "ngram-looked-at"))
+    kept = joined_rows(maybe, gone, "left_anti")
+    if not again.isEmpty():
+        once = joined_rows(kept, again, "left_semi").dropDuplicates(["doc_id", "row_key"])
+        kept = joined_rows(kept, again, "left_anti").unionByName(once)
+    return sure.unionByName(kept).select("row.*")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)

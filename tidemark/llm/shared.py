@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -202,6 +203,41 @@ def united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "have"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns, whatever their names), doc_id, row_key (tells rows with one id apart), text (never null)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+
+
+def parted(rows: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, row_key, ...) in two parts: rows that cannot be in the durable some(doc_id, row_key), and those that may be.
+
+    Only the second part has to be joined with ``some``; the first, with its texts, stays where it is.
+    """
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(some.select(F.xxhash64("doc_id", "row_key").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        return pd.Series(table.value.has(key.to_numpy()))
+
+    hit = may(F.xxhash64("doc_id", "row_key"))
+    return rows.where(~hit), rows.where(hit)
+
+
+def joined_rows(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """rows(doc_id, row_key, ...) joined with some(doc_id, row_key, ...); a null id equals a null id."""
+    right = some.withColumnsRenamed({"doc_id": "some_id", "row_key": "some_key"})
+    on = rows["doc_id"].eqNullSafe(F.col("some_id")) & (rows["row_key"] == F.col("some_key"))
+    out = rows.join(right, on, how)
+    return out if "anti" in how or "semi" in how else out.drop("some_id", "some_key")
+
+
+def without(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows whose (doc_id, row_key) is not in the durable ``some``."""
+    sure, maybe = parted(rows, some)
+    return sure.unionByName(joined_rows(maybe, some, "left_anti"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
     """left join right on key, where right has one row a key and left may hold a third of its rows in one key.
 

@@ -12,15 +12,19 @@ unsigned 16-bit or 32-bit integers. The index has a block's last key, place and
 about ``BLOCK_BYTES`` bytes), so a lookup asks the Bloom filter, finds the block by bisection and reads
 that one block. The footer has the places and lengths of index and filter, counts, the integer width and a magic.
 
-A text is cut at ASCII blanks, which no token crosses; each distinct lower-cased word is encoded once by the
-library and remembered (a bounded cache). Null texts count as empty and give the end id alone.
+With a tokenizer of the kind that ``BY_WORDS`` tells (checked when it is loaded) a text is cut at ASCII blanks,
+which no token crosses; each distinct lower-cased word is encoded once by the library and remembered (a bounded
+cache). With any other the library gets whole texts. Null texts count as empty and give the end id alone, repeated
+rows stand side by side, an empty table gives no shard, and other columns than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -162,19 +166,51 @@ class ShardReader:
         return out
 
 
+#: What a tokenizer file must say for its texts to be encoded word by word (format of the tokenizers library).
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+BPE_BY_WORDS = {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>", "ignore_merges": False}
+#: ASCII characters that are neither blank, letter nor digit; an apostrophe may belong to letters behind it.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters of Latin-1 and Latin Extended-A: tried at load, then lower-cased here.
+LATIN = [chr(c) for c in (*range(0xC0, 0x180),) if chr(c).isalpha()]
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that the byte-level format writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Encodes texts word by word with the library; see the module."""
+    """Encodes texts with the library: word by word if the tokenizer is of the kind that BY_WORDS tells, else whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 65536 else 4
+        said = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in said["added_tokens"]]
+        self.by_words = all(said.get(k) == v for k, v in BY_WORDS.items()) and all(said["model"].get(k) == v for k, v in BPE_BY_WORDS.items()) and all(t.startswith("<|") and not t.split()[1:] for t in added)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        normal = self.tokenizer.normalizer.normalize_str if self.by_words else str
+        safe = "".join(c for c in LATIN if normal(c) == c.lower() and len(c.lower()) == 1)
+        self.letters_only = re.compile(f"[a-z{safe}]+")
+        self.letter_model = Tokenizer(self.tokenizer.model)  # the same model without the steps that leave such letters as they are
+        self.letter_model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.bytes_shown = {b: c for b, c in byte_letters().items() if b != 10}
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def packed(self, ids: list[int] | np.ndarray) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
@@ -183,11 +219,12 @@ class WordEncoder:
         return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone: encoded many at once, cut behind each token that closes a word."""
+        """Words of safe letters alone: encoded many at once, cut behind each token that closes a word."""
         out = []
         for i in range(0, len(words), 500):
             part = words[i : i + 500]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, np.int64)
+            shown = "\n".join(part).lower().encode().decode("latin-1").translate(self.bytes_shown)
+            ids = np.array(self.letter_model.encode(shown, add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, at = self.packed(ids), [0, *(ends * self.width).tolist()]
@@ -197,25 +234,36 @@ class WordEncoder:
         return out
 
     def learn(self, fresh: list[bytes]) -> None:
-        cores = {w: w.rstrip(b".,") for w in fresh}
-        # behind an ASCII letter full stops and commas always begin a new token
-        cores = {w: c if c[-1:].isalpha() else w for w, c in cores.items()}
-        new = list(({*cores.values()} | {w[len(c) :] for w, c in cores.items() if c != w}) - self.words.keys())
-        texts = [w.decode() for w in new]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        other = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for where, how in ((plain, self.letters), (other, self.each)):
-            self.words.update(zip([new[i] for i in where], how([texts[i] for i in where]), strict=True))
-        for w, c in cores.items():
-            if c != w:
-                self.words[w] = self.words[c] + self.words[w[len(c) :]]
+        parts: dict[bytes, tuple[str, str]] = {}
+        new: dict[str, bytes] = {}
+        for word in fresh:
+            text = word.decode()
+            core = text.rstrip(MARKS)
+            # behind a letter such marks always begin a new token, and they are one
+            if core.lower()[-1:].isalpha() and "<|" not in text:
+                tail = text[len(core) :]
+            else:
+                core, tail = text, ""
+            parts[word] = core, tail
+            new[core] = new[tail] = b""
+        plain = [t for t in new if self.letters_only.fullmatch(t)]
+        other = [t for t in new if t and not self.letters_only.fullmatch(t)]
+        new.update(zip(plain, self.letters(plain), strict=True))
+        new.update(zip(other, self.each(other), strict=True))
+        self.words.update((word, new[core] + new[tail]) for word, (core, tail) in parts.items())
 
     def encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_words:
+            yield from self.each([t.decode() for t in texts])
+            return
         # a special token's text is the only one whose case matters
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.words) > 3 * CACHE_WORDS:
-            self.words.clear()
-        self.learn(list({w for words in split for w in words} - self.words.keys()))
+        if len(self.words) > 2 * CACHE_WORDS:
+            self.before, self.words = self.words, {}
+        fresh = {w for words in split for w in words} - self.words.keys()
+        again = fresh & self.before.keys()
+        self.words.update((w, self.before[w]) for w in again)
+        self.learn(list(fresh - again))
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
 

@@ -660,4 +660,4 @@ def l4_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the rest registers itself
-from tidemark.plans import market, sources, streams  # noqa: E402, F401
+from tidemark.plans import forecasts, market, sources, streams  # noqa: E402, F401

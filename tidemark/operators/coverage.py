@@ -94,3 +94,11 @@ def freshness(ticks: DataFrame, now_ns: int, limit_ns: int) -> DataFrame:
     """Age of each stream's last message and whether it is stale at ``now_ns``."""
     out = ticks.groupBy("series").agg(F.max("ns").alias("last_ns"), F.count("*").alias("received"))
     return out.withColumn("age_ns", now_ns - F.col("last_ns")).withColumn("stale", F.col("age_ns") > limit_ns)
+
+
+def united(*sources: DataFrame) -> DataFrame:
+    """Claims (series, claim_start, claim_end, status) of several sources: overlaps stay, equal claims count once."""
+    out = sources[0]
+    for other in sources[1:]:
+        out = out.unionByName(other)
+    return out.distinct()

@@ -208,12 +208,6 @@ def j11_baselines(spark: SparkSession, sf: str) -> DataFrame:
     return late.groupBy("series").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(t)), 8).alias("zero_mae"), F.round(F.avg(F.abs(t - F.col("mean"))), 8).alias("mean_mae"))
 
 
-@query(with_(BARS_SQL, f""" SELECT series, start_ns, CASE WHEN n >= 9 THEN 'sealed' WHEN NOT finalized THEN 'excluded' WHEN n < 2 THEN 'abstained' ELSE 'pending' END AS state FROM bars"""))
-def k5_pre_score_state(spark: SparkSession, sf: str) -> DataFrame:
-    state = F.when(F.col("n") >= 9, "sealed").when(~F.col("finalized"), "excluded").when(F.col("n") < 2, "abstained").otherwise("pending")
-    return bars(spark, sf).select("series", "start_ns", state.alias("state"))
-
-
 @query(with_(BARS_SQL, RET_SQL + """ SELECT series, start_ns, round(abs(prediction - target), 6) AS abs_error, round((prediction - target) * (prediction - target), 6) AS sq_error, round(abs(abs(prediction) - abs(target)), 6) AS magnitude_error,
 CASE WHEN prediction <> 0 AND target <> 0 THEN sign(prediction) = sign(target) END AS direction_correct, prediction = 0 AS zero_prediction, target = 0 AS zero_target FROM p"""))
 def k7_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -527,15 +527,6 @@ def j2_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return scores.outcomes(b, scores.origins(b, 12), 4)
 
 
-CUT = T0 + 18 * 24 * H
-
-
-@query(with_(BARS_SQL, ORIGIN_SQL + f""" SELECT series, coalesce(CASE WHEN origin_ns >= {CUT} AND origin_ns < {CUT + 24 * H} THEN 'embargo' WHEN origin_ns < {CUT} AND origin_ns + {4 * H} >= {CUT} THEN 'split-endpoint' WHEN origin_ns + {4 * H} >= {T0 + 720 * H} THEN 'split-endpoint' END, reason, 'eligible') AS state, count(*) AS n FROM o GROUP BY 1, 2"""))
-def j4_feasibility(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scores.structural(scores.origins(bars(spark, sf), 12), CUT, 24 * H, T0 + 720 * H, 4)
-    return rows.groupBy("series", F.coalesce("structural", "reason", F.lit("eligible")).alias("state")).agg(F.count("*").alias("n"))
-
-
 @query(with_(BARS_SQL, RET_SQL + """, m AS (SELECT series, count(*) AS n, avg(target) AS my, stddev_pop(prediction) AS sx, covar_pop(prediction, target) AS cxy, var_pop(prediction) AS vx FROM p GROUP BY 1)
 SELECT series, n, round(n * cxy / sx / (n * vx / sx / sx + 1), 8) AS weight, round(my, 8) AS intercept FROM m"""))
 def j12_ridge_one(spark: SparkSession, sf: str) -> DataFrame:
@@ -660,4 +651,4 @@ def l4_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the rest registers itself
-from tidemark.plans import forecasts, market, sources, streams  # noqa: E402, F401
+from tidemark.plans import forecasts, market, replay, sources, streams  # noqa: E402, F401

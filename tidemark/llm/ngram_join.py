@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bit_table, bounded_batches, components, discard, durable, joined_rows, keyed, mixed, parted, texts_of, window_hashes, word_hashes
@@ -42,6 +43,8 @@ PARITY = [f"p{k}" for k in range(4)]
 NEXT_ORDER = np.uint64(0xD6E8FEB86659FD93)
 #: A task remembers so many classes whose signatures it has written.
 REMEMBERED = 100_000
+#: Signatures that a task holds at a time while it groups them.
+TABLE_ROWS = 800_000
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -209,11 +212,16 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     bounded_batches(docs)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"), text.alias("text"))
-    scan = durable(scanned(docs, n, percent), "ngram-sets")
+    seen = Observation()
+    many = F.coalesce(F.sum(F.array_size("sigs")), F.lit(0))
+    scan = durable(scanned(docs, n, percent).observe(seen, many.alias("sigs"), F.max(F.spark_partition_id()).alias("last")), "ngram-sets")
     known = scan.where("doc_id is not null and cls is not null")
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
-    common = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls").groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"))
-    common = durable(common.where("lo <> hi").select("sig", "many"), "ngram-common")
+    # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
+    turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
+    rows = [known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls").where(F.pmod("sig", F.lit(turns)) == k) for k in range(turns)]
+    parts = [r.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many")).where("lo <> hi") for r in rows]
+    common = durable(reduce(DataFrame.union, parts).select("sig", "many"), "ngram-common")
     table = spark.sparkContext.broadcast(bit_table(common.select("sig")))
     shared = durable(signature_rows(known, table).join(common, "sig").distinct(), "ngram-shared")
     table.destroy()

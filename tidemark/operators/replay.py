@@ -191,7 +191,7 @@ def guarded(requests: DataFrame, reserved_from_ns: int) -> DataFrame:
 
 def same_cases(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Errors of two forecast sets on the cases both have, by group, with the cases that only one has."""
-    both = left.select(*keys, *by, "target", F.col("prediction").alias("_l")).join(right.select(*keys, F.col("prediction").alias("_r")), keys, "left")
+    both = left.select(*dict.fromkeys([*keys, *by]), "target", F.col("prediction").alias("_l")).join(right.select(*keys, F.col("prediction").alias("_r")), keys, "left")
     found = F.col("_r").isNotNull()
     error = lambda c: F.round(F.avg(F.when(found, F.abs(F.col(c) - F.col("target")))), 8)
     return both.groupBy(*by).agg(F.count_if(found).alias("n"), F.count_if(~found).alias("only_left"), error("_l").alias("left_mae"), error("_r").alias("right_mae"))

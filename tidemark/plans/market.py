@@ -162,15 +162,6 @@ def g3_round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- forecasts ---------------------------------------------------------------------------------------------
-@query(with_(BARS_SQL, f""" SELECT CASE WHEN start_ns - {6 * H} < {T0} THEN 'missing-history-boundary' WHEN start_ns >= {TRAIN_END - DAY} AND start_ns < {TRAIN_END} THEN 'embargo'
-WHEN start_ns < {TRAIN_END} AND start_ns + {2 * DAY} > {TRAIN_END} THEN 'split-endpoint' ELSE 'eligible' END AS reason, count(*) AS n FROM bars GROUP BY 1"""))
-def j3_structural_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("start_ns")
-    reason = F.when(s - 6 * H < T0, "missing-history-boundary").when((s >= TRAIN_END - DAY) & (s < TRAIN_END), "embargo")
-    reason = reason.when((s < TRAIN_END) & (s + 2 * DAY > TRAIN_END), "split-endpoint").otherwise("eligible")
-    return bars(spark, sf).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(with_(BARS_SQL, f""", r AS (SELECT series, ns - ns % {H} AS start_ns, max(ns) + 5000 AS upper_ns FROM ticks GROUP BY 1, 2), a AS (SELECT b.series, b.start_ns, greatest(b.start_ns + {H}, r.upper_ns) AS own_ns FROM bars b JOIN r USING (series, start_ns))
 SELECT series, start_ns, own_ns, CASE WHEN count(*) OVER w = 3 THEN max(own_ns) OVER w END AS available_ns FROM a WINDOW w AS (PARTITION BY series ORDER BY start_ns ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""))
 def j7_availability(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import HOUR_NS, nanoseconds
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none (one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+from tidemark.sources.scratch import fresh
 
 
 def tick_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> DataFrame:
@@ -28,7 +21,7 @@ def tick_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> D
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """Runs the stream over all files there are, then reads what it appended. Restarts go on from its checkpoint."""
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    home = fresh(spark, label)
     run = stream.writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")

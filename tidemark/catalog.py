@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import expressions as X
 from tidemark.operators import classify, coverage, derive, ledger, scores
-from tidemark.sources.views import BARS_SQL, OBS_SQL, TICKS_SQL, bars, observations, table, ticks
+from tidemark.sources.views import BARS_SQL, OBS_SQL, TICKS_SQL, bars, candles, observations, table, ticks
 
 FLAGSHIP = "m0_forecast_scores"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,16 +60,27 @@ c AS (SELECT series, CASE WHEN start_ns >= {SPLITS[0][1]} AND start_ns + {4 * H}
 SELECT series, part AS "partition", count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias
 FROM c WHERE part IS NOT NULL GROUP BY 1, 2"""))
 def m0_forecast_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derive.lag_label(bars(spark, sf)).where("lag_reason is null and label_reason is null")
+    return forecast_scores(bars(spark, sf))
+
+
+def pooled_forecast_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over one instrument made of all ticks, which has whole chains on small tables too."""
+    return forecast_scores(candles(ticks(spark, sf).withColumn("series", F.lit("all"))))
+
+
+def forecast_scores(candle: DataFrame) -> DataFrame:
+    rows = derive.lag_label(candle).where("lag_reason is null and label_reason is null")
     rows = rows.withColumn("partition", scores.partition_of(F.col("start_ns"), F.col("label_end_ns"), SPLITS)).where("partition is not null")
     return scores.point_metrics(rows.withColumns({"prediction": F.col("close"), "target": F.col("label_close")}), ["series", "partition"])
 
 
 # ---- sources and scalar rules ------------------------------------------------------------------------------
-@query("""SELECT doc_id, octet_length(encode(text)) AS logical_bytes, sha256(text) AS content_sha256 FROM documents WHERE sha256(text) = sha256(text)""")
+@query("""SELECT doc_id, octet_length(encode(text)) AS logical_bytes, sha256(text) AS content_sha256, lang IS DISTINCT FROM 'fr' AS verified FROM documents WHERE text IS NOT NULL""")
 def a1_verified_scan(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"), F.sha2("text", 256).alias("content_sha256"))
-    return raw.where(F.sha2("payload", 256) == F.col("content_sha256")).select("doc_id", F.octet_length("payload").cast("bigint").alias("logical_bytes"), "content_sha256")
+    """Payloads against the hash stored beside them; French ones have gained a character since."""
+    d = table(spark, sf, "documents").where("text is not null")
+    stored = d.select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.octet_length("text").cast("bigint").alias("logical_bytes"), F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("payload"))
+    return stored.select("doc_id", "logical_bytes", "content_sha256", (F.sha2("payload", 256) == F.col("content_sha256")).alias("verified"))
 
 
 @query(with_(TICKS_SQL, " SELECT series, off AS \"offset\", price FROM ticks WHERE off > 500 ORDER BY off LIMIT 200"))
@@ -605,18 +616,10 @@ def k8_score_views(spark: SparkSession, sf: str) -> DataFrame:
     return one.select("slot", F.col("as_of").alias("first_as_of"), F.col("price").alias("first_price")).join(two.select("slot", F.col("as_of").alias("latest_as_of"), F.col("price").alias("latest_price")), "slot")
 
 
-@query(with_(BARS_SQL, RET_SQL + """, l AS (SELECT series || start_ns AS truth, CAST(start_ns // 3600000000000 % 3 AS BIGINT) AS horizon, abs(prediction - target) AS e FROM p WHERE start_ns % 5 <> 0), r AS (SELECT series || start_ns AS truth, abs(target) AS e FROM p)
-SELECT horizon, count(*) AS n, round(avg(l.e) - avg(r.e), 8) AS mae_difference FROM l JOIN r USING (truth) GROUP BY ROLLUP (horizon) HAVING count(*) > 0"""))
-def k10_compare(spark: SparkSession, sf: str) -> DataFrame:
-    p = returns(spark, sf).withColumn("truth", F.concat("series", F.col("start_ns").cast("string")))
-    left = p.where("start_ns % 5 <> 0").select("truth", (F.expr(f"start_ns div {H}") % 3).alias("horizon"), F.abs(F.col("prediction") - F.col("target")).alias("abs_error"))
-    return ledger.compared(left, p.select("truth", F.abs("target").alias("abs_error")))
-
-
 @query(with_(BARS_SQL, RET_SQL + """, l AS (SELECT series || start_ns AS truth, CAST(start_ns // 3600000000000 % 3 AS BIGINT) AS horizon, abs(prediction - target) AS e FROM p WHERE prediction > 0), r AS (SELECT series || start_ns AS truth, abs(target) AS e FROM p)
 SELECT horizon, count(*) AS n, round(avg(l.e) - avg(r.e), 8) AS mae_difference FROM l JOIN r USING (truth) GROUP BY ROLLUP (horizon) HAVING count(*) > 0"""))
 def k10_compare_risen(spark: SparkSession, sf: str) -> DataFrame:
-    """K10, C9 with a left stream of risen bars only; that of k10_compare is empty, as starts are multiples of an hour."""
+    """K10, C9 with a left stream of risen bars only."""
     p = returns(spark, sf).withColumn("truth", F.concat("series", F.col("start_ns").cast("string")))
     left = p.where("prediction > 0").select("truth", (F.expr(f"start_ns div {H}") % 3).alias("horizon"), F.abs(F.col("prediction") - F.col("target")).alias("abs_error"))
     return ledger.compared(left, p.select("truth", F.abs("target").alias("abs_error")))
@@ -651,4 +654,4 @@ def l4_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the rest registers itself
-from tidemark.plans import forecasts, market, replay, sources, streams  # noqa: E402, F401
+from tidemark.plans import contracts, forecasts, market, replay, sources, streams  # noqa: E402, F401

@@ -58,3 +58,25 @@ def violations(kinds: DataFrame, key: list[str] = KEY) -> DataFrame:
 def final_conflicts(obs: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Keys with final observations of different content."""
     return obs.where("finalized").groupBy(*key).agg(F.count_distinct("revision").alias("n_revisions"), F.min("offset").alias("first_offset")).where("n_revisions > 1")
+
+
+def risen(rows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
+    """Each row's predecessor by arrival within ``keys`` and whether its offset fails to rise above it."""
+    before = F.lag("offset").over(W.partitionBy(*keys).orderBy(*arrival))
+    return rows.withColumn("predecessor", before).withColumn("falls", F.col("offset") <= F.col("predecessor"))
+
+
+def transitions(kinds: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """rows(key, offset, producer, finalized, kind) that break a rule, with the first it breaks: a conflict as input,
+    accepted twice, a revision with nothing before it, a change behind a final one, several producers of one candle."""
+    by = W.partitionBy(*key)
+    order = by.orderBy("offset")
+    several = F.min("producer").over(by) != F.max("producer").over(by)
+    nth, place = F.row_number().over(W.partitionBy(*key, "kind").orderBy("offset")), F.row_number().over(order)
+    done = F.coalesce(F.bool_or(F.col("finalized") & (F.col("kind") != "conflict")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    change = F.col("kind").isin("open_revision", "finalization")
+    reason = (
+        F.when(F.col("kind") == "conflict", "conflict-input").when((F.col("kind") == "accepted") & (nth > 1), "repeated-accepted").when(change & (place == 1), "no-predecessor")
+        .when(change & done, "change-after-final").when(several & (place == 1), "mixed-producer")
+    )
+    return kinds.withColumn("reason", reason).where("reason is not null")

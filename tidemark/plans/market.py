@@ -32,12 +32,6 @@ def b8_text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.is_identifier(F.col("url")).alias("identifier"), X.is_digest(F.sha2("url", 256)).alias("digest"))
 
 
-@query(with_(BARS_SQL, """ SELECT series, CASE WHEN NOT finalized THEN 'not-finalized' WHEN n < 3 THEN 'thin' WHEN high > 4 * low THEN 'wide' ELSE 'kept' END AS reason, count(*) AS n FROM bars GROUP BY 1, 2"""))
-def b15_policy_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    reason = F.when(~F.col("finalized"), "not-finalized").when(F.col("n") < 3, "thin").when(F.col("high") > 4 * F.col("low"), "wide").otherwise("kept")
-    return bars(spark, sf).groupBy("series", reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 JSON_SQL = """, j AS (SELECT series, off, '{"ns":' || ns || ',"offset":' || off || ',"producer":' || producer || ',"series":"' || series || '"}' AS body FROM ticks)"""
 
 

@@ -10,7 +10,8 @@ import pytest
 from tidemark import catalog
 from tidemark.operators import scores
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Smaller tables have no whole chains; a query whose result is empty proves nothing.
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -34,8 +35,8 @@ def rows_of(names, rows):
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got
     if name not in catalog.SQL:
-        assert got
         return
     rel = duck.sql(catalog.SQL[name])
     assert sorted(rel.columns) == sorted(df.columns)

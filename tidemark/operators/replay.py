@@ -164,7 +164,7 @@ def skills(draws: DataFrame, whole: DataFrame, family: int) -> DataFrame:
     Assets weigh alike. The champion is the least (mean error, name). p is one-sided, centred under zero skill; the
     lower bound is at 0.025 divided by the family; a claim needs more than 2 % there.
     """
-    mean = lambda rows, by: rows.groupBy(*by).agg(F.avg(F.col("loss") / F.col("n")).alias("mae"))
+    mean = lambda rows, by: rows.groupBy(*by).agg(F.avg(F.try_divide("loss", "n")).alias("mae"))
     total = mean(whole, ["algorithm"])
     best = total.agg(F.min_by(F.struct("algorithm", "mae"), F.struct("mae", "algorithm")).alias("b")).select(F.col("b.algorithm").alias("champion"), F.col("b.mae").alias("best"))
     total = total.crossJoin(F.broadcast(best)).withColumn("skill", F.when(F.col("best") != 0, 1 - F.col("mae") / F.col("best")).otherwise(0.0))
@@ -177,8 +177,8 @@ def skills(draws: DataFrame, whole: DataFrame, family: int) -> DataFrame:
 
 def coverage_intervals(draws: DataFrame, whole: DataFrame, nominal: float, tolerance: float) -> DataFrame:
     """Asset, coverage, its 95 % bootstrap interval and whether it lies within the tolerance of the nominal one."""
-    each = draws.groupBy("asset").agg(F.percentile(F.col("covered") / F.col("n"), 0.025).alias("lower"), F.percentile(F.col("covered") / F.col("n"), 0.975).alias("upper"))
-    have = whole.groupBy("asset").agg((F.sum("covered") / F.sum("n")).alias("coverage"))
+    each = draws.groupBy("asset").agg(F.percentile(F.try_divide("covered", "n"), 0.025).alias("lower"), F.percentile(F.try_divide("covered", "n"), 0.975).alias("upper"))
+    have = whole.groupBy("asset").agg(F.try_divide(F.sum("covered"), F.sum("n")).alias("coverage"))
     return have.join(each, "asset").withColumn("tolerance_met", F.abs(F.col("coverage") - nominal) <= tolerance)
 
 

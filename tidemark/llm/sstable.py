@@ -246,8 +246,11 @@ class WordEncoder:
                 core, tail = text, ""
             parts[word] = core, tail
             new[core] = new[tail] = b""
-        plain = [t for t in new if self.letters_only.fullmatch(t)]
-        other = [t for t in new if t and not self.letters_only.fullmatch(t)]
+        safe = self.letters_only.fullmatch
+        plain, other = [], []
+        for t in new:
+            if t:
+                (plain if t.isascii() and t.isalpha() and t.islower() or safe(t) else other).append(t)
         new.update(zip(plain, self.letters(plain), strict=True))
         new.update(zip(other, self.each(other), strict=True))
         self.words.update((word, new[core] + new[tail]) for word, (core, tail) in parts.items())
@@ -260,10 +263,12 @@ class WordEncoder:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.words) > 2 * CACHE_WORDS:
             self.before, self.words = self.words, {}
-        fresh = {w for words in split for w in words} - self.words.keys()
-        again = fresh & self.before.keys()
-        self.words.update((w, self.before[w]) for w in again)
-        self.learn(list(fresh - again))
+        known, before = self.words, self.before
+        fresh = [w for w in set().union(*split) if w not in known]
+        if before:
+            known.update((w, before[w]) for w in fresh if w in before)
+            fresh = [w for w in fresh if w not in known]
+        self.learn(fresh)
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
 

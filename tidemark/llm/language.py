@@ -10,8 +10,10 @@ Evidence on a page: its text, the language its markup declares, the suffix of it
 * Host: prior counts by grouped aggregation, smoothed down a hierarchy: everything, the host's parent domain
   (last two labels), the host. Each level counts as its own pages plus ``strength`` times the level above.
 
-The page's own vote is taken out of its host's and domain's counts. Null html or urls are empty evidence: no
-text leaves the priors to decide. A page without any evidence gets the commonest language.
+The page's own vote is taken out of all its counts. Null html or urls are empty evidence: without text, or with text
+that does not tell languages apart, markup, suffix and host decide. A page without any evidence gets the commonest
+language. Ties go to the first language by name. Rows that repeat a page are judged each and vote each; no documents
+give the single language "und", no pages no rows. Very long pages count whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bounded_batches, durable, salted_join, summed, texts_of
+from tidemark.llm.shared import bounded_batches, durable, summed, texts_of
 from tidemark.llm.url_filters import host_and_path
 
 BINS = 1 << 15
+#: Languages whose tables travel together: 8 MB.
+BLOCK = 64
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -42,32 +46,38 @@ def trigrams(text: bytes) -> np.ndarray:
     return (h[some] % BINS).astype(np.int64)
 
 
-def trained(documents: DataFrame, train_docs: int, most_languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)): the ``most_languages`` commonest labels, BINS numbers each."""
+def trained(documents: DataFrame, train_docs: int) -> tuple[list[str], list[np.ndarray]]:
+    """(languages, log P(trigram | language) in blocks of BLOCK languages, BINS numbers each); every label is a language."""
     rows = documents.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in found)
-    total = sum(r["count"] for r in found)
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
+    languages = sorted(found)
     if not languages:
-        return ["und"], np.zeros((1, BINS), np.float32)
-    step = max(1, -(-total // train_docs))
-    place = F.try_element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col("lang"))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.coalesce(place, F.lit(-1)).alias("place"), "text")
-    n = len(languages)
-
+        return ["und"], [np.zeros((1, BINS), np.float32)]
+    step = max(1, -(-sum(found.values()) // train_docs))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    tables = []
+    for first in range(0, len(languages), BLOCK):
+        block = languages[first : first + BLOCK]
+        place = F.array_position(F.array(*map(F.lit, block)), F.col("lang")) - 1
+        tables.append(counted(sample.where(F.col("lang").isin(block)).select(place.cast("int").alias("place"), "text"), len(block)))
+    return languages, tables
+
+
+def counted(rows: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((n, BINS), np.int64)
         for batch in batches:
             for place, text in zip(batch.column("place").to_pylist(), texts_of(batch), strict=True):
                 counts[place] += np.bincount(trigrams(text), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["task", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["task", "block", "counts"])
 
-    parts = durable(rows.where("place >= 0").mapInArrow(run, "task int, block int, counts binary"), "lang-counts")
+    parts = durable(rows.mapInArrow(run, "task int, block int, counts binary"), "lang-counts")
     tasks = parts.agg(F.coalesce(F.max("task"), F.lit(0)) + 1).first()[0]
-    summed_up = summed(parts, tasks).collect()
-    counts = np.frombuffer(summed_up[0].counts, np.int64).reshape(n, BINS) if summed_up else np.zeros((n, BINS))
+    counts = np.zeros((n, BINS), np.int64)
+    for row in summed(parts, tasks).toLocalIterator():
+        counts[row.block] = np.frombuffer(row.counts, np.int64)
     smooth = counts + 0.5
-    return languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def visible(html: Column) -> Column:
@@ -76,9 +86,24 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(gone, r"<[^>]*+>", " "), r"&[#A-Za-z0-9]{1,10};", " ")
 
 
-def scored(pages: DataFrame, model) -> DataFrame:
-    """pages with scores (mean log likelihood a language) and n (trigrams); pages has no html left."""
-    kept = [c for c in pages.columns if c != "text"]
+def scored(pages: DataFrame, models: list) -> DataFrame:
+    """pages with scores (mean log likelihood a language) and n (trigrams); pages has no text left.
+
+    A pass for each block of languages, so a task holds one block's table at a time.
+    """
+    held = pages.columns
+    for k, model in enumerate(models):
+        pages = pages.mapInArrow(one_pass(model, k, len(models), pages.columns), scored_schema(pages, k, len(models)))
+    return pages.select(*[c for c in held if c != "text"], F.concat(*[f"scores{k}" for k in range(len(models))]).alias("scores"), "n")
+
+
+def scored_schema(pages: DataFrame, k: int, passes: int) -> str:
+    kept = [f"{c} {t}" for c, t in pages.dtypes if c != "n" and not (c == "text" and k == passes - 1)]
+    return ", ".join([*kept, f"scores{k} array<double>", "n bigint"])
+
+
+def one_pass(model, k: int, passes: int, columns: list[str]):
+    kept = [c for c in columns if c != "n" and not (c == "text" and k == passes - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -88,34 +113,22 @@ def scored(pages: DataFrame, model) -> DataFrame:
                 t = trigrams(text or b"")
                 many.append(len(t))
                 scores.append(table[:, t].mean(axis=1).tolist() if len(t) else [0.0] * len(table))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.list_(pa.float64())), pa.array(many, pa.int64())], [*kept, "scores", "n"])
-
-    schema = ", ".join([*(f"{c} {t}" for c, t in pages.dtypes if c != "text"), "scores array<double>, n bigint"])
-    return pages.mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.list_(pa.float64())), pa.array(many, pa.int64())], [*kept, f"scores{k}", "n"])
 
-def likelihood(rows: DataFrame, field: str, n: int, smooth: float) -> DataFrame:
-    """field, array of log P(field | language): grouped counts of pages by their language by text."""
-    counts = rows.where(F.col("n") > 0).groupBy(field, "by_text").count()
-    total = counts.groupBy("by_text").agg(F.sum("count").alias("total"))
-    kinds = counts.agg(F.count_distinct(field).alias("kinds"))
-    each = rows.select(field).distinct().crossJoin(F.broadcast(rows.sparkSession.range(n).select(F.col("id").cast("int").alias("by_text"))))
-    shares = each.join(counts, [field, "by_text"], "left").join(F.broadcast(total), "by_text", "left").crossJoin(F.broadcast(kinds))
-    shares = shares.withColumn("p", F.log((F.coalesce("count", F.lit(0)) + smooth) / (F.coalesce("total", F.lit(0)) + smooth * (F.col("kinds") + 1))))
-    return shares.groupBy(field).agg(F.transform(F.array_sort(F.collect_list(F.struct("by_text", "p"))), lambda x: x["p"]).alias(f"p_{field}"))
+    return run
 
 
 def votes(rows: DataFrame, field: str, n: int) -> DataFrame:
-    """field, array of its pages by their language by text."""
+    """field, array of its pages by their language by text: one grouped aggregation, a row a value."""
     sums = [F.count_if((F.col("by_text") == i) & (F.col("n") > 0)).cast("double") for i in range(n)]
-    return rows.groupBy(field).agg(F.array(*sums).alias(f"v_{field}"))
+    return rows.where(F.col(field) != "").groupBy(field).agg(F.array(*sums).alias(f"v_{field}"))
 
 
 def identified(pages: DataFrame, documents: DataFrame, train_docs: int = 20_000, most_evidence: float = 40.0, smooth: float = 1.0, strength: float = 5.0) -> DataFrame:
     """page_id, lang, confidence, by_text (language by text alone), declared, suffix, host for each page."""
     spark = pages.sparkSession
     bounded_batches(pages)
-    languages, table = trained(documents, train_docs)
+    languages, tables = trained(documents, train_docs)
     n = len(languages)
     host, _ = host_and_path(F.col("url").cast("string"))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -125,24 +138,33 @@ def identified(pages: DataFrame, documents: DataFrame, train_docs: int = 20_000,
         visible(html).alias("text"))
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)\z", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)\z", 1))
     best = F.array_position(F.col("scores"), F.array_max("scores")) - 1
-    rows = durable(scored(rows, spark.sparkContext.broadcast(table)).withColumn("by_text", best.cast("int")), "lang-scored")
+    models = [spark.sparkContext.broadcast(t) for t in tables]
+    scan = durable(scored(rows, models).withColumn("by_text", best.cast("int")), "lang-scored")
+    for model in models:
+        model.destroy()
+    # all evidence is counted on the scored rows: two numbers a language and two more for the driver, a row a value for the joins
+    whole = scan.agg(*[F.count_if((F.col("by_text") == i) & (F.col("n") > 0)).alias(f"w{i}") for i in range(n)], *[F.count_distinct(F.when(F.col(f) != "", F.col(f))).alias(f) for f in ("declared", "suffix")]).first()
+    shown = {}
     for field in ("declared", "suffix"):
-        rows = salted_join(rows, likelihood(rows, field, n, smooth), field)
-    whole = rows.agg(*[(F.count_if((F.col("by_text") == i) & (F.col("n") > 0)) + 1.0).alias(f"w{i}") for i in range(n)])
-    rows = rows.crossJoin(F.broadcast(whole.select(F.array(*[f"w{i}" for i in range(n)]).alias("whole"))))
-    for field in ("domain", "host"):
-        rows = salted_join(rows, votes(rows, field, n), field)
+        told = scan.where((F.col(field) != "") & (F.col("n") > 0)).agg(*[F.count_if(F.col("by_text") == i).alias(f"t{i}") for i in range(n)]).first()
+        shown[field] = F.array(*[F.lit(float(told[f"t{i}"] + smooth * (whole[field] + 1))) for i in range(n)])
+    base = F.array(*[F.lit(float(whole[f"w{i}"] + 1)) for i in range(n)])
+    rows = scan
+    for field in ("declared", "suffix", "domain", "host"):
+        rows = rows.join(votes(scan, field, n), field, "left")  # a hot value is split by adaptive execution
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     share = lambda a: F.transform(a, lambda x: x / total(a))
     own = lambda v: F.transform(v, lambda x, i: F.when((i == F.col("by_text")) & (F.col("n") > 0), x - 1).otherwise(x))
     below = lambda counts, above: F.zip_with(counts, share(above), lambda x, p: x + strength * p)
-    rows = rows.withColumn("_domain", F.when(F.col("domain") == "", F.col("whole")).otherwise(below(own(F.col("v_domain")), F.col("whole"))))
-    rows = rows.withColumn("_host", F.when(F.col("host") == "", F.col("_domain")).otherwise(below(own(F.col("v_host")), F.col("_domain"))))
-    prior = F.transform(share(F.col("_host")), lambda x: F.log(x))
+    rows = rows.withColumn("whole", base)
+    rows = rows.withColumn("at_domain", F.when(F.col("v_domain").isNull(), F.col("whole")).otherwise(below(own(F.col("v_domain")), F.col("whole"))))
+    rows = rows.withColumn("at_host", F.when(F.col("v_host").isNull(), F.col("at_domain")).otherwise(below(own(F.col("v_host")), F.col("at_domain"))))
+    prior = F.transform(share(F.col("at_host")), lambda x: F.log(x))
     text = F.transform("scores", lambda x: x * F.least(F.col("n").cast("double"), F.lit(most_evidence)))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    log_p = add(add(prior, text), add(F.when(F.col("declared") == "", F.transform("p_declared", lambda x: F.lit(0.0))).otherwise(F.col("p_declared")), F.when(F.col("suffix") == "", F.transform("p_suffix", lambda x: F.lit(0.0))).otherwise(F.col("p_suffix"))))
-    rows = rows.withColumn("log_p", log_p)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    # a page's own count tells nothing about itself
+    seen = lambda f: F.when(F.col(f"v_{f}").isNull(), F.transform("scores", lambda x: F.lit(0.0))).otherwise(F.zip_with(own(F.col(f"v_{f}")), shown[f], lambda c, t: F.log((c + smooth) / t)))
+    rows = rows.withColumn("log_p", plus(plus(prior, text), plus(seen("declared"), seen("suffix"))))
     top = F.array_max("log_p")
     names = F.array(*map(F.lit, languages))
     at = F.array_position("log_p", top).cast("int")

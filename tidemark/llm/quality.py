@@ -13,8 +13,10 @@ strata tested; a stratum is tested if it has enough good holdout documents to pa
 features together reject falsely at most ``max_rejection`` of good documents in each stratum, with probability
 1 - ``error``.
 
-Null texts count as empty, a null language is the stratum '' and rare strata share one; documents of a
-stratum without a safe cutoff are judged by the base rules alone. Repeated rows are judged each.
+Null texts count as empty, a null language is the stratum ''. Documents of a stratum without a safe cutoff, or
+without labels, are judged by the base rules alone. Of repeated labels the worst counts, repeated rows are judged
+each, values that tie with a cutoff are kept, and an empty table on either side gives no cutoff. Other columns are
+not looked at, whatever their names. The number of strata has no bound.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import bounded_batches, durable, texts_of
 
@@ -98,7 +101,8 @@ def features(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *[row] * carry)
-    schema = ", ".join(["doc_id bigint, lang string", *[f"_row {dict(rows.dtypes)['_row']}" for _ in range(carry)], *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
+    kinds = [*((c, T.LongType()) for c in COUNTS), *((c, T.DoubleType()) for c in FEATURES)]
+    schema = T.StructType([*(rows.schema[c] for c in held), *(T.StructField(c, t) for c, t in kinds)])
     return rows.mapInArrow(run, schema)
 
 
@@ -143,23 +147,21 @@ def sequence(proposals: dict[str, list[tuple[float, int, int]]]) -> list[tuple[s
     return [(feature, cutoff) for _, feature, _, cutoff in sorted(steps)]
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, max_rejection: float = 0.01, error: float = 0.05, grid: int = 24, strata: int = 64) -> DataFrame:
+def cutoffs(measures: DataFrame, labels: DataFrame, max_rejection: float = 0.01, error: float = 0.05, grid: int = 24) -> DataFrame:
     """stratum, feature, cutoff, n_good, n_false, bad_found, p_value: the chosen cutoffs, with figures of their joint rule.
 
-    A stratum without any has one row with a null feature. At most ``strata`` + 1 rows a feature, whatever
-    the input's size; so is all that the driver gets.
+    A stratum without any has one row with a null feature. The driver gets counts: ``grid`` rows at most for each
+    stratum and feature, whatever the number of documents.
     """
     spark = measures.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measures.where(~base_failed()).withColumn("stratum", F.coalesce("lang", F.lit(""))).join(known, "doc_id")
-    top = rows.groupBy("stratum").agg(F.count("*").alias("n_top")).orderBy(F.desc("n_top"), "stratum").limit(strata)
-    rows = rows.join(F.broadcast(top), "stratum", "left").withColumn("stratum", F.when(F.col("n_top").isNull(), "").otherwise(F.col("stratum")))
     rows = rows.withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     rows = durable(rows.select("stratum", "fit", (F.col("quality") == 1).alias("good"), *FEATURES), "quality-labelled")
     long = rows.where("fit").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("x")).select("stratum", "good", "x.*")
     steps = [1 - 0.5 ** (i / 2) for i in range(2, grid + 2)]  # proposals crowd towards the top
     proposals = long.groupBy("stratum", "feature").agg(F.expr(f"percentile_approx(value, array({', '.join(map(str, steps))}), 10000)").alias("cuts"))
-    tried = long.join(F.broadcast(proposals), ["stratum", "feature"]).select("stratum", "feature", "good", "value", F.explode(F.array_distinct("cuts")).alias("cutoff"))
+    tried = long.join(proposals, ["stratum", "feature"]).select("stratum", "feature", "good", "value", F.explode(F.array_distinct("cuts")).alias("cutoff"))
     hit = F.col("value") > F.col("cutoff")
     points: dict[str, dict[str, list[tuple[float, int, int]]]] = {}
     for r in tried.groupBy("stratum", "feature", "cutoff").agg(F.count_if(F.col("good") & hit).alias("lost"), F.count_if(~F.col("good") & hit).alias("won")).collect():
@@ -172,7 +174,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, max_rejection: float = 0.01,
     hits = F.filter("path", lambda x: F.element_at(values, x["feature"]) > x["cutoff"])
     step = F.array_min(F.transform(hits, lambda x: x["step"]))
     counts: dict[str, dict[tuple, int]] = {}
-    for r in rows.join(F.broadcast(table), "stratum", "left").groupBy("stratum", "fit", "good", step.alias("step")).count().collect():
+    for r in rows.join(table, "stratum", "left").groupBy("stratum", "fit", "good", step.alias("step")).count().collect():
         counts.setdefault(r.stratum, {})[r.fit, r.good, r.step] = r["count"]
 
     n_good = {s: sum(n for (fit, good, _), n in c.items() if good and not fit) for s, c in counts.items()}
@@ -201,14 +203,10 @@ def cutoffs(measures: DataFrame, labels: DataFrame, max_rejection: float = 0.01,
 def judged(measures: DataFrame, chosen: DataFrame) -> DataFrame:
     """measures with base_failed, kept and failed_rules (names of the features cut)."""
     rules = durable(chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "cutoff")))).alias("cuts")), "quality-cuts")  # bounded: a row a stratum
-    strata = rules.select(F.col("stratum").alias("own"))
-    rows = measures.withColumn("own", F.coalesce("lang", F.lit("")))
-    rows = rows.join(F.broadcast(strata.withColumn("listed", F.lit(True))), "own", "left")
-    rows = rows.withColumn("stratum", F.when(F.col("listed"), F.col("own")).otherwise(F.lit("")))
-    rows = rows.join(F.broadcast(rules), "stratum", "left")
+    rows = measures.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(rules, "stratum", "left")
     failed = F.filter(F.array(*[F.when(F.col(f) > F.col("cuts")[f], F.lit(f)) for f in FEATURES]), lambda x: x.isNotNull())
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.coalesce(failed, F.array().cast("array<string>")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("own", "listed", "cuts")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cuts")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,10 @@ from tidemark.sources.views import BARS_SQL, TICKS_SQL, bars, table, ticks
 
 DAY = X.DAY_NS
 #: The hour of the day of a candle says what is wrong with its payload.
-HOUR = F.expr(f"start_ns div {H} % 24")
+def hour() -> Column:
+    return F.expr(f"start_ns div {H} % 24")
+
+
 HOUR_SQL = f"(start_ns // {H}) % 24"
 
 
@@ -65,7 +68,7 @@ KLINE_ROWS = f"""SELECT series AS symbol, strftime(make_timestamp(start_ns // 10
 SELECT symbol, month, coalesce(reason, 'kept') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN c END), 2) AS close_sum, count(*) AS n_lineage FROM r GROUP BY 1, 2, 3"""))
 def a4_monthly_archives(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly CSV files of all symbols, some with a header row, some rows broken by their hour."""
-    b = bars(spark, sf).withColumn("h", HOUR)
+    b = bars(spark, sf).withColumn("h", hour())
     start = F.expr("start_ns div 1000000")
     at = F.when(F.col("h") == 4, start + 40 * 86_400_000).otherwise(start)
     text = {
@@ -120,7 +123,7 @@ start_ns + {H} + CASE WHEN h = 2 THEN 3600000000 ELSE 0 END + CASE h WHEN 3 THEN
 CASE WHEN series = 'signup' THEN 'unknown-instrument' WHEN h = 2 THEN 'wrong-origin' WHEN h = 4 THEN 'not-final' WHEN h = 3 THEN 'late' ELSE 'accepted' END AS state FROM m"""))
 def a8_hourly_intake(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly messages joined with the instruments known, judged for finality and lateness."""
-    b = bars(spark, sf).withColumn("h", HOUR)
+    b = bars(spark, sf).withColumn("h", hour())
     start = F.expr("start_ns div 1000000")
     close = start + 3_599_999 + F.when(F.col("h") == 2, 3_600).otherwise(0)
     got = (close + 1) * 1_000_000 + F.when(F.col("h") == 3, 90_000_000_000).otherwise(20_000_000_000)
@@ -204,7 +207,7 @@ def payloads(b: DataFrame, venue: bool) -> DataFrame:
 @query(with_(BARS_SQL, f""" SELECT series, start_ns, CASE WHEN {HOUR_SQL} = 22 THEN 'unsupported' WHEN {broken_sql(BROKEN, 0)} IS NULL THEN 'accepted' ELSE 'rejected' END AS status, {broken_sql(BROKEN, 0)} AS code, {broken_sql(BROKEN, 1)} AS field,
 CASE WHEN {HOUR_SQL} = 23 THEN round("close", 2) END AS parsed_close, CASE WHEN {HOUR_SQL} = 23 THEN start_ns END AS parsed_start FROM bars"""))
 def b1_b2_strict_parse(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("h", HOUR)
+    b = bars(spark, sf).withColumn("h", hour())
     raw = payloads(b, False).select("series", F.col("start_ns").alias("at_ns"), (F.col("h") != 21).alias("has_subject"), "payload")
     out = parsing.parsed(raw)
     return out.select("series", F.col("at_ns").alias("start_ns"), "status", "code", "field", F.col("close").cast("double").alias("parsed_close"), F.col("start_ns").alias("parsed_start"))
@@ -212,7 +215,7 @@ def b1_b2_strict_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(BARS_SQL, f""" SELECT series, start_ns, CASE WHEN {HOUR_SQL} = 22 THEN 'unsupported' WHEN {broken_sql(VENUE_BROKEN, 0)} IS NULL THEN 'accepted' ELSE 'rejected' END AS status, {broken_sql(VENUE_BROKEN, 0)} AS code, {broken_sql(VENUE_BROKEN, 1)} AS field FROM bars"""))
 def b3_venue_parse(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("h", HOUR)
+    b = bars(spark, sf).withColumn("h", hour())
     raw = payloads(b, True).select("series", "start_ns", F.lit("spot").alias("category"), F.col("series").alias("symbol"), F.lit("kline-60").alias("channel"), F.expr("start_ns div 1000000").alias("source_ms"), "payload")
     return parsing.venue_parsed(raw).select("series", "start_ns", "status", "code", "field")
 

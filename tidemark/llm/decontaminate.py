@@ -157,7 +157,7 @@ class Stretch:
         return out
 
 
-def stretches(batch: pa.RecordBatch, most_words: int = 400_000) -> Iterator[tuple[slice, Stretch]]:
+def stretches(batch: pa.RecordBatch, most_words: int = 100_000) -> Iterator[tuple[slice, Stretch]]:
     raw = batch.column("ids").to_pylist()
     at = size = 0
     for i, r in enumerate(raw):

@@ -11,10 +11,12 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
    no n-gram of a set and so no signature; there are ``spare`` fragments more than D for that, and a set with more
    empty ones has signatures by a second order as well, and so on: a pair is found by the first order in which one
    of the two has few enough.
-2. Stars. Signatures of one class only go. Around each other one, classes are compared with a single leader, the
+2. Stars. Signatures of one class only go; of those with the same classes (equal number, least and greatest class,
+   sum of low bits and exclusive or) one is kept. Around each of these, classes are compared with a single leader, the
    class that shares most signatures: copies of one text hang on the copy with the fewest edits. Links make components.
 3. Rest. Classes that share a signature but lie in different components are compared too, so no link is lost; what
-   their parities rule out (they differ in at most D places) goes within the join.
+   their parities rule out (they differ in at most D places) goes within the join, what longer sketches of parities
+   rule out right behind it.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
@@ -39,12 +41,14 @@ from tidemark.llm.shared import bit_table, bounded_batches, components, discard,
 
 #: Words of 64 parity bits for each set: two sets differ in as many n-grams at least as in parities.
 PARITY = [f"p{k}" for k in range(4)]
+#: Bits of the longer sketch of parities, which tells larger sets apart.
+SKETCH = 2048
 #: Mixed into the hashes to get the next global order.
 NEXT_ORDER = np.uint64(0xD6E8FEB86659FD93)
 #: A task remembers so many classes whose signatures it has written.
 REMEMBERED = 100_000
 #: Signatures that a task holds at a time while it groups them.
-TABLE_ROWS = 800_000
+TABLE_ROWS = 500_000
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -60,9 +64,8 @@ def set_class(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the set's n-grams falls on each of 64 * len(PARITY) bits, packed into words."""
-    size = 64 * len(PARITY)
+def parities(hashes: np.ndarray, size: int = 64 * len(PARITY)) -> np.ndarray:
+    """Whether an odd number of the set's n-grams falls on each of ``size`` bits, packed into words."""
     return np.packbits(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
@@ -124,12 +127,13 @@ class Signatures:
 
 
 def scanned(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n, cls, parities and sigs of docs(doc_id, row_key, text); sigs is null where the task has given the class's already."""
+    """doc_id, row_key, n, cls, parities, sigs and sketch of docs(doc_id, row_key, text); the last two are null where the task
+    has given the class's already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, seen = Signatures(percent), set()
         for batch in batches:
-            sizes, classes, odd, sigs = [], [], [], []
+            sizes, classes, odd, sigs, sketches = [], [], [], [], []
             for text, there in zip(texts_of(batch), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 s = shingle_set(text, n)
                 cls = set_class(s) if len(s) else None
@@ -138,15 +142,17 @@ def scanned(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 classes.append(cls)
                 if cls is None or not there or cls in seen:
                     sigs.append(None)
+                    sketches.append(None)
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(cls)
                 sigs.append(signatures.of(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(len(sizes), len(PARITY)).T), pa.array(sigs, pa.list_(pa.int64()))], names)
+                sketches.append(parities(s, SKETCH))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(len(sizes), len(PARITY)).T), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
 
-    names = ["doc_id", "row_key", "n", "cls", *PARITY, "sigs"]
-    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, cls bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", sigs array<bigint>")
+    names = ["doc_id", "row_key", "n", "cls", *PARITY, "sigs", "sketch"]
+    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, cls bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", sigs array<bigint>, sketch array<bigint>")
 
 
 def signature_rows(scan: DataFrame, table) -> DataFrame:
@@ -186,20 +192,30 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "cls bigint, frag int, grams array<bigint>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs (a, na, b, nb) whose sets reach the threshold, by partial overlaps of fragments."""
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """a, b: the pairs (a, na, b, nb) whose sets reach the threshold, by partial overlaps of fragments.
+
+    A set that stands in sets more than once gives its overlaps again, of which one counts.
+    """
     one = sets.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"))
     two = sets.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(one, "a").join(two, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-    both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    # both joins deal the sets by (class, fragment), so Spark scans and shuffles them once
+    each = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    partial = each.join(one, ["a", "frag"]).join(two, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    once = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))
+    both = once.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def due(percent: int) -> Column:
+    """The overlap that sets of na and nb n-grams must reach."""
+    return F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+
+
 def alike(percent: int) -> Column:
     """Sizes and parities of the sides na, p0.. and nb, p0_2.. allow the threshold."""
     differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITY), F.lit(0))
-    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= F.col("na") + F.col("nb") - 2 * overlap)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= F.col("na") + F.col("nb") - 2 * due(percent))
 
 
 def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,21 +235,36 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
     # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
     turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
-    rows = [known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls").where(F.pmod("sig", F.lit(turns)) == k) for k in range(turns)]
-    parts = [r.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many")).where("lo <> hi") for r in rows]
-    common = durable(reduce(DataFrame.union, parts).select("sig", "many"), "ngram-common")
+    same = [F.sum(F.col("cls").bitwiseAND(F.lit(2**30 - 1))).alias("low"), F.bit_xor("cls").alias("odd")]
+    each = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls")
+    parts = []
+    for k in range(turns):
+        part = each.where(F.pmod("sig", F.lit(turns)) == k).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"), *same)
+        parts.append(durable(part.where("lo <> hi"), "ngram-part"))
+    # signatures of the very same classes stand for one another
+    common = reduce(DataFrame.union, parts).groupBy("lo", "hi", "many", "low", "odd").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
+    common = durable(common.select("sig", (F.col("many") * F.col("times")).alias("many")), "ngram-common")
+    for part in parts:
+        discard(part)
     table = spark.sparkContext.broadcast(bit_table(common.select("sig")))
     shared = durable(signature_rows(known, table).join(common, "sig").distinct(), "ngram-shared")
     table.destroy()
     rows = durable(scan.select("doc_id", "row_key", "n", "cls"), "ngram-rows")
+    sketches = durable(known.where("sketch is not null").select("cls", "sketch"), "ngram-sketches")
     discard(scan)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """The links among the durable pairs; their sets come from the texts."""
+        """The links among the pairs (a, na, b, nb): those that the longer sketches allow, by their sets from the texts."""
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        drawn = durable(sketches.join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-drawn")
+        both = pairs.join(drawn.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(drawn.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        pairs = durable(both.where(differ <= F.col("na") + F.col("nb") - 2 * due(percent)).select("a", "na", "b", "nb"), "ngram-pairs")
+        discard(drawn)
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         ids = durable(firsts.join(ends, "cls").select("doc_id"), "ngram-wanted")
         wanted = spark.sparkContext.broadcast(bit_table(ids))
-        out = durable(linked(pairs, segments(docs, n, wanted, fragments).join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), percent), "ngram-links")
+        out = durable(linked(pairs, segments(docs, n, wanted, fragments), percent, fragments), "ngram-links")
         wanted.destroy()
         discard(ids)
         return out

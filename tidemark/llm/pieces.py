@@ -173,7 +173,7 @@ class Pieces:
     def encoded(self, texts: list[str]) -> Iterator[list[tuple[bytes, int, bytes]]]:
         """For each text its words' (decimal ids joined by blanks, number of ids, decoded text), in order."""
         split = [WORDS.findall(self.prefix + t.replace(BLANK, " ")) if t else [] for t in texts]
-        if len(self.cache) > 2 * CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         fresh = list({w for words in split for w in words} - self.cache.keys())
         for word, symbols in zip(fresh, self.merged([w.replace(" ", BLANK) for w in fresh]), strict=True):
@@ -189,10 +189,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """docs(doc_id, text) as doc_id, n_tokens and (ids, decoded), or their SHA-256 digests; ids have an end id."""
+def encoded(docs: DataFrame, path: str, digests: bool = False, decoded: bool = True) -> DataFrame:
+    """docs(doc_id, text) as doc_id, n_tokens and (ids, decoded text unless it is not wanted), or their SHA-256 digests.
+
+    Ids have an end id. Each row is judged for itself, so repeated ids and rows stay; an empty table gives an empty one.
+    """
     bounded_batches(docs)
-    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")[: 1 + decoded])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -201,7 +204,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
             groups = in_groups(texts_of(batch))
             for parts in (x for g in groups for x in model.encoded([(t or b"").decode() for t in g])):
                 ids = b" ".join([p[0] for p in parts] + [str(model.end).encode()])
-                text = b"".join([p[2] for p in parts])[len(model.prefix) :]
+                text = b"".join([p[2] for p in parts])[len(model.prefix) :] if decoded else b""
                 counts.append(sum([p[1] for p in parts]) + 1)
                 if digests:
                     first.append(hashlib.sha256(ids).hexdigest())
@@ -210,9 +213,9 @@ def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
                     first.append(np.array(ids.split(), np.int32))
                     second.append(text.decode())
             kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())][: len(names)], names)
 
-    schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decoded)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,7 +26,7 @@ CACHE_WORDS = 150_000
 
 
 #: Rows that go to a Python worker at a time: texts are long, and a worker holds a batch more than once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def bounded_batches(df: DataFrame) -> None:
@@ -216,9 +215,9 @@ def parted(rows: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     table = rows.sparkSession.sparkContext.broadcast(bit_table(some.select(F.xxhash64("doc_id", "row_key").alias("key"))))
 
-    @F.pandas_udf("boolean")
-    def may(key: pd.Series) -> pd.Series:
-        return pd.Series(table.value.has(key.to_numpy()))
+    @F.arrow_udf("boolean")
+    def may(key: pa.Array) -> pa.Array:
+        return pa.array(table.value.has(key.to_numpy(zero_copy_only=False)))
 
     hit = may(F.xxhash64("doc_id", "row_key"))
     return rows.where(~hit), rows.where(hit)

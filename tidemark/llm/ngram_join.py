@@ -11,8 +11,8 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
    no n-gram of a set and so no signature; there are ``spare`` fragments more than D for that, and a set with more
    empty ones has signatures by a second order as well, and so on: a pair is found by the first order in which one
    of the two has few enough.
-2. Stars. Signatures of one class only go; of those with the same classes (equal number, least and greatest class,
-   sum of low bits and exclusive or) one is kept. Around each of these, classes are compared with a single leader, the
+2. Stars. Signatures of one class only go; of those with the same classes (equal number, least and greatest class
+   and sum of 40 low bits) one is kept. Around each of these, classes are compared with a single leader, the
    class that shares most signatures: copies of one text hang on the copy with the fewest edits. Links make components.
 3. Rest. Classes that share a signature but lie in different components are compared too, so no link is lost; what
    their parities rule out (they differ in at most D places) goes within the join, what longer sketches of parities
@@ -235,14 +235,14 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
     # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
     turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
-    same = [F.sum(F.col("cls").bitwiseAND(F.lit(2**30 - 1))).alias("low"), F.bit_xor("cls").alias("odd")]
+    low = F.try_sum(F.col("cls").bitwiseAND(F.lit(2**40 - 1))).alias("low")  # null, as one more value, beyond 2**23 rows
     each = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls")
     parts = []
     for k in range(turns):
-        part = each.where(F.pmod("sig", F.lit(turns)) == k).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"), *same)
+        part = each.where(F.pmod("sig", F.lit(turns)) == k).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"), low)
         parts.append(durable(part.where("lo <> hi"), "ngram-part"))
     # signatures of the very same classes stand for one another
-    common = reduce(DataFrame.union, parts).groupBy("lo", "hi", "many", "low", "odd").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
+    common = reduce(DataFrame.union, parts).groupBy("lo", "hi", "many", "low").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
     common = durable(common.select("sig", (F.col("many") * F.col("times")).alias("many")), "ngram-common")
     for part in parts:
         discard(part)

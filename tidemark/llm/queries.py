@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.llm.alignment import op11_alignment
 from tidemark.llm.chat import op2_chat_formatting
+from tidemark.llm.clusters import lloyd_sql, op13_centroid_clustering
 from tidemark.llm.decontaminate import op7_decontamination
+from tidemark.llm.extract import op12_html_extraction
 from tidemark.llm.language import op9_language_id
 from tidemark.llm.ngram_join import op4_ngram_jaccard_join
 from tidemark.llm.pieces import op10_sentencepiece
@@ -18,6 +21,7 @@ QUERIES = {
     for f in (
         op1_url_filters, op2_chat_formatting, op3_pii, op4_ngram_jaccard_join, op5_quality_rules, op6_substring_dedup,
         op7_decontamination, op8_token_id_output, op9_language_id, op10_sentencepiece,
+        op11_alignment, op12_html_extraction, op13_centroid_clustering,
     )
 }
 
@@ -30,4 +34,5 @@ gone AS (SELECT DISTINCT doc_id, s + k AS p FROM wins JOIN firsts USING (g) CROS
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_centroid_clustering": lloyd_sql(),
 }

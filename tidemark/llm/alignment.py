@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import CACHE_WORDS, bounded_batches, durable, in_groups, texts_of
+from tidemark.llm.shared import bounded_batches, durable, in_groups, texts_of
 
 #: Records and documents that a task gathers before it writes runs.
 RUN_RECORDS, RUN_DOCS = 1 << 20, 1 << 16
@@ -43,6 +43,17 @@ CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 KNOWN = regex.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-ͷЀ-ԓ‐-‧‰-⁞€]*+")
 
 
+def parts_below(token: bytes, ranks: dict[bytes, int], rank: int) -> list[bytes]:
+    """What merges of a lower rank make of a token's bytes: the best one first, the leftmost at a tie."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best, at = min((ranks.get(parts[i] + parts[i + 1], rank), i) for i in range(len(parts) - 1))
+        if best >= rank:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 def byte_of_char() -> dict[str, int]:
     """The characters that byte-level vocabularies write for bytes: printable Latin ones for themselves, the rest from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,8 +72,6 @@ class Sides:
         self.a.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
-        self.by_word = plain and not spec["model"].get("dropout")  # words are encoded each for itself
         chars = byte_of_char()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
@@ -75,20 +84,37 @@ class Sides:
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         size = max(len(self.bytes_a), len(self.bytes_b))
         self.shown = [f"{i}{mark}" for i in range(size) for mark in ",|;"]
-        self.cache: dict[str, list[int]] = {}
+        self.quick = self.by_rank(spec)
+
+    def by_rank(self, spec: dict):
+        """The first side as a table of ranks, if that is the same tokenizer, else nothing.
+
+        It is where texts are cut at CUTS alone and each merge makes the next id from exactly the two parts that the
+        merges before it leave of its bytes: then bytes that can become a token become it by that merge only.
+        """
+        import tiktoken
+
+        model = spec["model"]
+        cut = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if spec["pre_tokenizer"] != cut or spec["normalizer"] or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        chars = byte_of_char()
+        ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if all(c in chars for c in token)}
+        special = {t["id"] for t in spec["added_tokens"]}
+        ranks = {token: i for token, i in ranks.items() if i not in special}
+        for i, pair in enumerate(model["merges"]):
+            first, second = (bytes(chars[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
+            if ranks.get(first + second) != 256 + i or parts_below(first + second, ranks, 256 + i) != [first, second]:
+                return None
+        if len(ranks) != 256 + len(model["merges"]):
+            return None
+        return tiktoken.Encoding("first side", pat_str=CUTS.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of the first side; words are remembered where the text has no character that libraries may class differently."""
-        known = [self.by_word and KNOWN.fullmatch(t) is not None for t in texts]
-        split = [CUTS.findall(t) if k else None for t, k in zip(texts, known, strict=True)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        fresh = list({w for words in split if words for w in words} - self.cache.keys())
-        for w, e in zip(fresh, self.a.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[w] = e.ids
+        """Ids of the first side, by ranks where a text has no character that libraries may class differently."""
+        known = [self.quick is not None and KNOWN.fullmatch(t) is not None for t in texts]
         others = iter(self.a.encode_batch_fast([t for t, k in zip(texts, known, strict=True) if not k], add_special_tokens=False))
-        get = self.cache.__getitem__
-        return [list(itertools.chain.from_iterable(map(get, words))) if words is not None else next(others).ids for words in split]
+        return [self.quick.encode_ordinary(t) if k else next(others).ids for t, k in zip(texts, known, strict=True)]
 
     def encoded(self, texts: list[bytes | None]) -> tuple[list[int], list[list[int]], list[list[int]]]:
         """Places of the texts that both sides give back byte for byte, with the ids of both sides."""

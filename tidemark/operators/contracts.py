@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.expressions import HOUR_NS, fits_decimal, is_digest
+from tidemark.operators.derive import chained
+from tidemark.operators.scores import next_faults
 
 #: The closed schema of a normalized archive: 48 names and types, fixed.
 NORMALIZED_SCHEMA = (
@@ -113,13 +115,13 @@ def capacity(rows: DataFrame, keys: list[str], days: int, spare: float) -> DataF
 
 def fingerprint_chain(bars: DataFrame, ahead: int, interval: int) -> DataFrame:
     """one hash over the fingerprints (fp) of the label chain's bars in order, up to the first missing or open one."""
-    w = W.partitionBy("series", F.pmod("start_ns", F.lit(interval))).orderBy("start_ns")
+    rows, w = chained(bars, 0, ahead, interval, None)
     parts, on = [], F.lit(True)
     for k in range(1, ahead + 1):
         on = on & F.coalesce(F.lead("start_ns", k).over(w) == F.col("start_ns") + k * interval, F.lit(False))
         parts.append(F.when(on, F.lead("fp", k).over(w)))
         on = on & F.coalesce(F.lead("finalized", k).over(w), F.lit(False))
-    return bars.select("series", "start_ns", F.sha2(F.concat_ws(",", *parts), 256).alias("lineage_sha256"))
+    return rows.select("series", "start_ns", "_own", F.sha2(F.concat_ws(",", *parts), 256).alias("lineage_sha256")).where("_own").drop("_own")
 
 
 def dependence(daily: DataFrame, most: int) -> DataFrame:
@@ -165,14 +167,21 @@ def pipeline_lag(stages: dict[str, DataFrame], now_ns: int, limit_ns: int) -> Da
     return out.select("series", "last_ns", age.alias("age_ns"), (age > limit_ns).alias("stale"), *names, (F.col(names[0]) - F.col(names[-1])).alias("lag"))
 
 
-def known_origins(bars: DataFrame, lookback: int, delay_ns: int) -> DataFrame:
+def known_origins(bars: DataFrame, lookback: int, delay_ns: int, span: int | None = None) -> DataFrame:
     """bars(series, start_ns, finalized, known_ns): eligibility of each grid hour's end from its whole lookback as known
-    ``delay_ns`` behind it; reason is the first failing hour's: missing, not-final or not-yet-known."""
-    ends = bars.groupBy("series").agg(F.min("start_ns").alias("lo"), F.max("start_ns").alias("hi"))
-    grid = ends.select("series", F.explode(F.sequence("lo", "hi", F.lit(HOUR_NS))).alias("start_ns")).join(bars, ["series", "start_ns"], "left")
-    bad = F.when(F.col("finalized").isNull(), "missing").when(~F.col("finalized"), "not-final")
-    # an hour is looked at by the origins of the next ``lookback`` hours: spread, then one aggregate an origin
-    seen = grid.select("series", "start_ns", bad.alias("bad"), "known_ns", F.explode(F.sequence(F.col("start_ns"), F.col("start_ns") + (lookback - 1) * HOUR_NS, F.lit(HOUR_NS))).alias("last_ns"))
-    fault = F.coalesce("bad", F.when(F.col("known_ns") > F.col("last_ns") + HOUR_NS + delay_ns, "not-yet-known"))
-    out = seen.groupBy("series", "last_ns").agg(F.count("*").alias("_n"), F.min_by(fault, F.when(fault.isNotNull(), F.col("start_ns"))).alias("_fault"), F.bool_or(F.col("start_ns") == F.col("last_ns")).alias("_own"))
-    return out.where("_own").select("series", (F.col("last_ns") + HOUR_NS).alias("origin_ns"), F.when(F.col("_n") < lookback, "missing-history-boundary").otherwise(F.col("_fault")).alias("reason"))
+    ``delay_ns`` behind it; reason is the first failing hour's: missing, not-final or not-yet-known.
+
+    Missing and open hours come from the running next fault. An hour known late spoils only the origins until it is known, so
+    it is spread over as many hours as it is late, at most the lookback.
+    """
+    rows = next_faults(bars.withColumn("close", F.lit(None)), span)
+    first = rows.select("series", (F.col("start_ns") + (lookback - 1) * HOUR_NS).alias("start_ns"), "fault")
+    own = F.col("start_ns") + HOUR_NS + delay_ns
+    late = bars.where(F.col("finalized") & (F.col("known_ns") > own))
+    until = F.col("start_ns") + F.least(F.expr(f"(known_ns - start_ns - {HOUR_NS + delay_ns} - 1) div {HOUR_NS}"), F.lit(lookback - 1)) * HOUR_NS
+    spoiled = late.select("series", "start_ns", F.explode(F.sequence("start_ns", until, F.lit(HOUR_NS))).alias("last_ns"))
+    spoiled = spoiled.groupBy("series", F.col("last_ns").alias("start_ns")).agg(F.min("start_ns").alias("_late"))
+    out = rows.drop("fault").join(first, ["series", "start_ns"], "left").join(spoiled, ["series", "start_ns"], "left")
+    known = F.when(F.col("fault.start_ns") <= F.col("start_ns"), F.col("fault"))
+    reason = F.when(F.col("start_ns") - (lookback - 1) * HOUR_NS < F.col("lo"), "missing-history-boundary").when(F.col("_late") < F.coalesce(known["start_ns"], F.lit(2**62)), "not-yet-known").otherwise(known["bad"])
+    return out.select("series", (F.col("start_ns") + HOUR_NS).alias("origin_ns"), reason.alias("reason"))

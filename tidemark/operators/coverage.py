@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.expressions import DAY_NS, HOUR_NS
+from tidemark.operators.scan import BLOCK_HOURS, BLOCK_OFFSETS, neighbours, prefix
 
 
-def candle_gaps(bars: DataFrame, interval: int = HOUR_NS) -> DataFrame:
+def candle_gaps(bars: DataFrame, interval: int = HOUR_NS, span: int | None = None) -> DataFrame:
     """H1: [gap_start, gap_end) between neighbours; an open candle's own interval is part of the gap behind it."""
-    w = W.partitionBy("series").orderBy("start_ns")
-    nxt = F.lead("start_ns").over(w)
+    rows = neighbours(bars.select("series", "start_ns", "finalized"), ["series"], "start_ns", span or BLOCK_HOURS * interval, behind={"gap_end": "start_ns"})
     begin = F.when(F.col("finalized"), F.col("start_ns") + interval).otherwise(F.col("start_ns"))
-    return bars.select("series", begin.alias("gap_start"), nxt.alias("gap_end")).where("gap_end > gap_start")
+    return rows.select("series", begin.alias("gap_start"), "gap_end").where("gap_end > gap_start")
 
 
-def sequence_gaps(rows: DataFrame) -> DataFrame:
+def sequence_gaps(rows: DataFrame, span: int = BLOCK_OFFSETS) -> DataFrame:
     """H2: missing sequence numbers in (stream, session, seq) by arrival (offset); the maximum restarts with a session."""
-    past = W.partitionBy("stream", "session").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
-    high = F.max("seq").over(past)
-    return rows.withColumn("_high", high).where(F.col("seq") > F.col("_high") + 1).select("stream", "session", (F.col("_high") + 1).alias("first_missing"), (F.col("seq") - 1).alias("last_missing"), "offset")
-
-
-def book_validity(rows: DataFrame) -> DataFrame:
-    """H3: (stream, offset, seq, is_snapshot) with valid, and loss on the first bad delta behind a snapshot."""
-    w = W.partitionBy("stream").orderBy("offset")
-    rows = rows.withColumn("_epoch", F.sum(F.col("is_snapshot").cast("int")).over(w))
-    own = W.partitionBy("stream", "_epoch").orderBy("offset")
-    step = F.col("is_snapshot") | (F.col("seq") == F.lag("seq").over(own) + 1)
-    rows = rows.withColumn("_ok", F.coalesce(step, F.lit(False)))
-    whole = F.min(F.col("_ok").cast("int")).over(own) == 1
-    rows = rows.withColumn("valid", (F.col("_epoch") > 0) & whole)
-    loss = (F.col("_epoch") > 0) & ~F.col("valid") & F.coalesce(F.lag("valid").over(own), F.lit(False))
-    return rows.withColumn("loss", loss).drop("_epoch", "_ok")
+    rows = prefix(rows, ["stream", "session"], "offset", span, {"_high": (F.max, F.col("seq"))}, inclusive=False)
+    return rows.where(F.col("seq") > F.col("_high") + 1).select("stream", "session", (F.col("_high") + 1).alias("first_missing"), (F.col("seq") - 1).alias("last_missing"), "offset")
+
+
+def book_validity(rows: DataFrame, span: int = BLOCK_OFFSETS) -> DataFrame:
+    """H3: (stream, offset, seq, is_snapshot) with valid, and loss on the first bad delta behind a snapshot.
+
+    A book is valid while the last snapshot lies behind the last bad delta; both are running maxima of offsets.
+    """
+    names = rows.columns
+    rows = neighbours(rows, ["stream"], "offset", span, {"_seq": "seq"})
+    bad = ~F.coalesce(F.col("is_snapshot") | (F.col("seq") == F.col("_seq") + 1), F.lit(False))
+    rows = rows.withColumns({"_snap_at": F.when(F.col("is_snapshot"), F.col("offset")), "_bad_at": F.when(bad, F.col("offset"))})
+    rows = prefix(rows, ["stream"], "offset", span, {"_snap": (F.max, F.col("_snap_at")), "_broken": (F.max, F.col("_bad_at"))}, inclusive=False)
+    was = F.coalesce(F.col("_snap") > F.coalesce("_broken", F.lit(-1 << 62)), F.lit(False))
+    now = F.col("_snap_at").isNotNull() | (was & F.col("_bad_at").isNull())
+    return rows.select(*names, now.alias("valid"), (was & ~now).alias("loss"))
 
 
 def overlapping(spans: DataFrame, claims: DataFrame, bucket: int = DAY_NS) -> DataFrame:

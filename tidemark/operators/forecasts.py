@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators import chains
+from tidemark.operators.scan import BLOCK_OFFSETS, prefix
+from tidemark.sources.scratch import durable
+
 #: Evidence classes that a stream may declare, fixed names.
 FORWARD, SYNTHETIC = "forward-shadow", "synthetic-fixture"
 
@@ -172,20 +176,20 @@ def clock_epochs(samples: DataFrame, max_step_ns: int, max_gap_ns: int) -> DataF
     return rows.withColumn("epoch", F.sum(opens.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def byte_batches(rows: DataFrame, keys: list[str], most_records: int, most_bytes: int) -> DataFrame:
+def byte_batches(rows: DataFrame, keys: list[str], most_records: int, most_bytes: int, span: int = BLOCK_OFFSETS) -> DataFrame:
     """rows(keys, offset, n_bytes) in order with ``batch``: as many as fit into both limits; a larger row stands alone.
 
-    One fold a group over its (offset, size) pairs: the greedy rule is sequential, so groups are to be bounded (a
-    partition of a day).
+    A batch ends before the first row whose running size exceeds that before the batch by more than the limit. Starts of batches
+    are a greedy chain over these successors, so a group of any length is dealt over all tasks.
     """
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("size"))
-    empty = F.array().cast("array<struct<offset:bigint,batch:int>>")
-
-    def fold(a: Column, x: Column) -> Column:
-        full = (a["at"]["n"] > 0) & ((a["at"]["n"] + 1 > most_records) | (a["at"]["size"] + x["n_bytes"] > most_bytes))
-        at = F.struct((a["at"]["batch"] + full.cast("int")).alias("batch"), F.when(full, 1).otherwise(a["at"]["n"] + 1).alias("n"), F.when(full, x["n_bytes"]).otherwise(a["at"]["size"] + x["n_bytes"]).alias("size"))
-        return F.struct(at.alias("at"), F.concat(a["out"], F.array(F.struct(x["offset"].alias("offset"), at["batch"].alias("batch")))).alias("out"))
-
-    listed = F.array_sort(F.collect_list(F.struct("offset", F.col("n_bytes").cast("bigint").alias("n_bytes"))))
-    found = rows.groupBy(*keys).agg(F.aggregate(listed, F.struct(zero.alias("at"), empty.alias("out")), fold)["out"].alias("x"))
-    return found.select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
+    rows = prefix(rows, keys, "offset", span, {"_at": (F.sum, F.lit(1).cast("bigint")), "_size": (F.sum, F.col("n_bytes").cast("bigint"))})
+    rows = durable(rows, "batch-rows")
+    limit = rows.withColumn("_target", F.col("_size") - F.col("n_bytes") + most_bytes + 1)
+    # sizes rise with the place, so blocks of sizes hold as many rows as blocks of places do on average
+    by_size = chains.next_at_or_after(limit, keys, "_size", "_target", max(1, most_bytes) * 4096, "_at").withColumnRenamed("next", "_full")
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    next_ = F.greatest(F.col("_at") + 1, F.least(F.coalesce("_full", F.col("_last") + 1), F.col("_at") + most_records))
+    links = by_size.join(last, keys).select(*keys, F.col("_at").alias("at"), F.when(next_ <= F.col("_last"), next_).alias("next"))
+    starts = chains.taken(links, keys).select(*keys, F.col("at").alias("_at"), F.lit(1).alias("_opens"))
+    out = prefix(rows.join(starts, [*keys, "_at"], "left"), keys, "_at", span, {"_batch": (F.sum, F.coalesce("_opens", F.lit(0)))})
+    return out.select(*keys, "offset", (F.col("_batch") - 1).cast("int").alias("batch"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.expressions import DAY_NS, HOUR_NS, log_return
+from tidemark.operators import chains, derive
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.scan import BLOCK_HOURS, haloed, prefix
 
 
 def as_of(revisions: DataFrame, keys: list[str], known: str, cutoff: Column) -> DataFrame:
@@ -83,8 +86,8 @@ def daily_losses(cases: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Linear (n - 1) q quantiles."""
-    return rows.groupBy(*keys).agg(*[F.round(F.percentile(value, q), 8).alias(name) for name, q in at.items()])
+    """Linear (n - 1) q quantiles, exact for groups of any size."""
+    return exact_quantiles(rows, keys, value, at).select(*keys, *[F.round(name, 8).alias(name) for name in at])
 
 
 def standardizer(train: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -94,29 +97,39 @@ def standardizer(train: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def blocks(rows: DataFrame, keys: list[str], duration_ns: int) -> DataFrame:
     """Greedy count of origins that lie at least ``duration_ns`` apart."""
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("n"))
-    fold = lambda a, x: F.when(a["last"].isNull() | (x >= a["last"] + duration_ns), F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("start_ns")), zero, fold)["n"].alias("blocks"))
+    chosen = chains.spaced(rows, keys, "start_ns", duration_ns, BLOCK_HOURS * HOUR_NS)
+    return chosen.groupBy(*keys).agg(F.count("*").cast("int").alias("blocks"))
 
 
-def origins(bars: DataFrame, lookback: int) -> DataFrame:
-    """Origins on the hour grid; the first missing or open hour of the lookback is the reason against one."""
-    grid = bars.groupBy("series").agg(F.min("start_ns").alias("lo"), F.max("start_ns").alias("hi")).select("series", F.explode(F.sequence("lo", "hi", F.lit(HOUR_NS))).alias("start_ns"))
-    rows = grid.join(bars.select("series", "start_ns", "close", "finalized"), ["series", "start_ns"], "left")
+def next_faults(bars: DataFrame, span: int | None = None) -> DataFrame:
+    """series, start_ns of each grid hour, close, lo (the series' first hour), and ``fault``: the first missing or open hour from here on."""
+    rows = derive.dense_hours(bars, HOUR_NS, span).join(bars.select("series", "start_ns", "close", "finalized"), ["series", "start_ns"], "left")
     bad = F.when(F.col("finalized").isNull(), "missing").when(~F.col("finalized"), "not-final")
-    rows = rows.withColumn("_bad", bad)
-    w = W.partitionBy("series").orderBy("start_ns").rowsBetween(-(lookback - 1), 0)
-    first = F.min(F.when(F.col("_bad").isNotNull(), F.struct("start_ns", "_bad"))).over(w)["_bad"]
-    reason = F.when(F.count("*").over(w) < lookback, "missing-history-boundary").otherwise(first)
-    return rows.select("series", (F.col("start_ns") + HOUR_NS).alias("origin_ns"), "close", reason.alias("reason"))
+    at = F.when(bad.isNotNull(), F.struct("start_ns", bad.alias("bad")))
+    rows = prefix(rows.withColumn("_at", at), ["series"], "start_ns", span or BLOCK_HOURS * HOUR_NS, {"fault": (F.min, F.col("_at"))}, reverse=True)
+    lo = bars.groupBy("series").agg(F.min("start_ns").alias("lo"))  # a row a series
+    return rows.join(lo, "series").select("series", "start_ns", "close", "lo", "fault")
+
+
+def origins(bars: DataFrame, lookback: int, span: int | None = None) -> DataFrame:
+    """Origins on the hour grid; the first missing or open hour of the lookback is the reason against one.
+
+    That hour is the next fault as seen from the lookback's first hour, so a lookback of any length costs one shift.
+    """
+    rows = next_faults(bars, span)
+    from_first = rows.select("series", (F.col("start_ns") + (lookback - 1) * HOUR_NS).alias("start_ns"), "fault")
+    out = rows.drop("fault").join(from_first, ["series", "start_ns"], "left")
+    boundary = F.col("start_ns") - (lookback - 1) * HOUR_NS < F.col("lo")
+    reason = F.when(boundary, "missing-history-boundary").when(F.col("fault.start_ns") <= F.col("start_ns"), F.col("fault.bad"))
+    return out.select("series", (F.col("start_ns") + HOUR_NS).alias("origin_ns"), "close", reason.alias("reason"))
 
 
 def outcomes(bars: DataFrame, origin: DataFrame, horizon: int) -> DataFrame:
     """Log return over ``horizon`` hours for eligible origins whose every hour is there and final."""
     fit = bars.where("finalized").select("series", F.col("start_ns"), F.col("close").alias("end_close"))
-    w = W.partitionBy("series").orderBy("start_ns")
-    fit = fit.withColumn("_back", F.lag("start_ns", horizon - 1).over(w)) if horizon > 1 else fit.withColumn("_back", F.col("start_ns"))
-    whole = fit.where(F.col("start_ns") - F.col("_back") == (horizon - 1) * HOUR_NS)
+    fit = haloed(fit, "start_ns", BLOCK_HOURS * HOUR_NS, (horizon - 1) * HOUR_NS)
+    back = F.lag("start_ns", horizon - 1).over(W.partitionBy("series", "_block").orderBy("start_ns")) if horizon > 1 else F.col("start_ns")
+    whole = fit.withColumn("_back", back).where(F.col("_own") & (F.col("start_ns") - F.col("_back") == (horizon - 1) * HOUR_NS)).select("series", "start_ns", "end_close")
     good = origin.where("reason is null").withColumn("start_ns", F.col("origin_ns") + (horizon - 1) * HOUR_NS)
     out = good.join(whole, ["series", "start_ns"], "left")
     return out.select("series", "origin_ns", F.round(log_return(F.col("end_close"), F.col("close")), 8).alias("target"), F.when(F.col("end_close").isNull(), "outcome-missing").alias("reason"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from tidemark.catalog import ORIGIN_SQL, PROB_SQL, RET_SQL, SPLITS, T0, H, probabilities, query, returns, with_
 from tidemark.functions import expressions as X
 from tidemark.operators import derive, replay, scores
-from tidemark.sources.scratch import fresh
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.scratch import durable, fresh
 from tidemark.sources.views import BARS_SQL, bars
 
 DAY = X.DAY_NS
@@ -151,7 +152,9 @@ def j13_empirical(spark: SparkSession, sf: str) -> DataFrame:
     rms = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x) / 6)
     u = featured(spark, sf, 6).select("series", (F.col("target") / F.greatest(F.lit(1e-12), rms)).alias("u"))
     q = {"q025": 0.025, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q975": 0.975}
-    return u.groupBy("series").agg(F.count("*").alias("n"), *[F.round(F.percentile("u", x), 6).alias(n) for n, x in q.items()], F.round((F.count_if(F.col("u") > 0) + 0.5) / (F.count_if(F.col("u") != 0) + 1), 8).alias("p_up"))
+    u = durable(u, "scaled-targets")
+    at = exact_quantiles(u, ["series"], "u", q).select("series", *[F.round(n, 6).alias(n) for n in q])
+    return u.groupBy("series").agg(F.count("*").alias("n"), F.round((F.count_if(F.col("u") > 0) + 0.5) / (F.count_if(F.col("u") != 0) + 1), 8).alias("p_up")).join(at, "series").select("series", "n", *q, "p_up")
 
 
 @query(with_(BARS_SQL, LAG_SQL + f""" SELECT series, CASE WHEN (start_ns // {H}) % 24 = 4 THEN 'differs' WHEN (start_ns // {H}) % 24 = 5 THEN 'only-recomputed' WHEN series = 'view' AND (start_ns // {H}) % 24 = 6 THEN 'only-stored' ELSE 'same' END AS state, count(*) AS n FROM v GROUP BY 1, 2"""))

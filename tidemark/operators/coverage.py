@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.expressions import DAY_NS, HOUR_NS
+from tidemark.functions.expressions import HOUR_NS
+from tidemark.operators import intervals
 from tidemark.operators.scan import BLOCK_HOURS, BLOCK_OFFSETS, neighbours, prefix
 
 
@@ -38,14 +39,9 @@ def book_validity(rows: DataFrame, span: int = BLOCK_OFFSETS) -> DataFrame:
     return rows.select(*names, now.alias("valid"), (was & ~now).alias("loss"))
 
 
-def overlapping(spans: DataFrame, claims: DataFrame, bucket: int = DAY_NS) -> DataFrame:
-    """C4: spans x claims of a series that overlap. Both are cut into buckets, so the join is an equi-join; a pair
-    is kept in the first bucket the two share."""
-    cut = lambda df, p: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bucket), F.floor((F.col(f"{p}_end") - 1) / bucket))))
-    both = cut(spans, "span").join(cut(claims, "claim"), ["series", "_bucket"])
-    hit = (F.col("span_start") < F.col("claim_end")) & (F.col("claim_start") < F.col("span_end"))
-    first = F.col("_bucket") == F.floor(F.greatest("span_start", "claim_start") / bucket)
-    return both.where(hit & first).drop("_bucket")
+def overlapping(spans: DataFrame, claims: DataFrame, unit: int = HOUR_NS) -> DataFrame:
+    """C4: spans x claims of a series that overlap, by dyadic pieces: a claim of ten years costs tens of rows."""
+    return intervals.overlapping(spans, claims, ["series"], unit)
 
 
 def coverage_status(spans: DataFrame, claims: DataFrame) -> DataFrame:
@@ -63,9 +59,13 @@ def coverage_status(spans: DataFrame, claims: DataFrame) -> DataFrame:
 
 def repair(expected: DataFrame, proven: DataFrame, exhausted: bool) -> DataFrame:
     """H6: complete, pending or unknown for each (series, gap_start, gap_end) by the hours proven in it."""
-    grid = expected.select("series", "gap_start", "gap_end", F.explode(F.sequence("gap_start", F.col("gap_end") - HOUR_NS, F.lit(HOUR_NS))).alias("start_ns"))
-    rows = grid.join(proven.select("series", "start_ns", F.lit(1).alias("hit")), ["series", "start_ns"], "left")
-    out = rows.groupBy("series", "gap_start", "gap_end").agg(F.count("*").alias("expected"), F.count("hit").alias("proven"))
+    names = ["series", "gap_start", "gap_end"]
+    hours = proven.select("series", "start_ns").distinct()
+    hit = intervals.points_within(hours, expected.select(*names).distinct(), ["series"], "start_ns", "gap_start", "gap_end")
+    on_grid = F.pmod(F.col("start_ns") - F.col("gap_start"), F.lit(HOUR_NS)) == 0
+    found = hit.where(on_grid).groupBy(*names).agg(F.count("*").alias("proven"))
+    size = F.expr(f"(gap_end - gap_start + {HOUR_NS - 1}) div {HOUR_NS}")
+    out = expected.select(*names).distinct().join(found, names, "left").select(*names, size.alias("expected"), F.coalesce("proven", F.lit(0)).alias("proven"))
     return out.withColumn("state", F.when(F.col("expected") == F.col("proven"), "complete").when(F.lit(exhausted), "unknown").otherwise("pending"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tidemark.catalog import GAP_SQL, GRID_SQL, KIND_SQL, PROB_SQL, RET_SQL, SPLITS, T0, H, probabilities, query, with_
 from tidemark.functions import expressions as X
+from tidemark.operators.asof import as_of_merge
 from tidemark.operators import archive, classify, contracts, coverage
 from tidemark.sources.scratch import fresh
 from tidemark.sources.views import BARS_SQL, OBS_SQL, TICKS_SQL, bars, observations, table, ticks
@@ -122,9 +123,20 @@ SELECT cutoff, series, start_ns, arg_max(price, (known, off)) AS price, max((kno
 def c5_as_of_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     """Each candle as it was known at three cutoffs; every third revision became known eight hours late."""
     o = observations(spark, sf).select("series", "start_ns", F.col("offset").alias("revision"), F.col("price").cast("bigint").alias("price"), (F.col("ns") + F.when(F.col("offset") % 3 == 0, 8 * H).otherwise(1000)).alias("known"))
-    cut = o.withColumn("cutoff", F.explode(F.array(*[F.lit(T0 + d * DAY) for d in (5, 12, 20)]))).where("known <= cutoff")
-    out = cut.groupBy("cutoff", "series", "start_ns").agg(F.max_by(F.struct("price", "revision"), F.struct("known", "revision")).alias("x"))
-    return out.select("cutoff", "series", "start_ns", "x.price", F.col("x.revision").alias("revision_offset"))
+    out = as_of_merge(o, [T0 + d * DAY for d in (5, 12, 20)], ["series", "start_ns"], "known", "revision")
+    return out.select("cutoff", "series", "start_ns", "price", F.col("revision").alias("revision_offset"))
+
+
+@query(with_(OBS_SQL, f""", k AS (SELECT series, start_ns, off, price, ns + CASE WHEN off % 3 = 0 THEN {8 * H} ELSE 1000 END AS known FROM obs), c AS (SELECT unnest(range({T0}, {T0 + 30 * DAY}, {6 * H})) AS cutoff),
+f AS (SELECT cutoff, series, start_ns, arg_max(price, (known, off)) AS latest, arg_min(price, (known, off)) AS earliest FROM k JOIN c ON known <= cutoff GROUP BY 1, 2, 3)
+SELECT cutoff, series, count(*) AS candles, CAST(sum(latest) AS BIGINT) AS latest, CAST(sum(earliest) AS BIGINT) AS first_available FROM f GROUP BY 1, 2"""))
+def c5_k8_views_by_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest and first available views of all candles at every sixth hour of the month, from one pass each."""
+    o = observations(spark, sf).select("series", "start_ns", F.col("offset").alias("revision"), F.col("price").cast("bigint").alias("price"), (F.col("ns") + F.when(F.col("offset") % 3 == 0, 8 * H).otherwise(1000)).alias("known"))
+    cutoffs = list(range(T0, T0 + 30 * DAY, 6 * H))
+    latest, first = (as_of_merge(o, cutoffs, ["series", "start_ns"], "known", "revision", f) for f in (False, True))
+    sums = lambda rows, name: rows.groupBy("cutoff", "series").agg(F.count("*").alias(f"_{name}"), F.sum("price").alias(name))
+    return sums(latest, "latest").join(sums(first, "first_available"), ["cutoff", "series"]).select("cutoff", "series", F.col("_latest").alias("candles"), "latest", "first_available")
 
 
 @query(with_(TICKS_SQL, """, p AS (SELECT producer, CASE WHEN price > 300 THEN off - 400 ELSE off END AS o, off, ns FROM ticks), l AS (SELECT *, lag(o) OVER (PARTITION BY producer ORDER BY ns, off) AS before FROM p)

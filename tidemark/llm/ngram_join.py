@@ -235,14 +235,15 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
     # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
     turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
-    low = F.try_sum(F.col("cls").bitwiseAND(F.lit(2**40 - 1))).alias("low")  # null, as one more value, beyond 2**23 rows
+    # two groups of classes count as the same by least, greatest, number, and 128 bits: a sum that cannot overflow and an exclusive or
+    same = [F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum"), F.bit_xor("cls").alias("mix")]
     each = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls")
     parts = []
     for k in range(turns):
-        part = each.where(F.pmod("sig", F.lit(turns)) == k).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"), low)
+        part = each.where(F.pmod("sig", F.lit(turns)) == k).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many"), *same)
         parts.append(durable(part.where("lo <> hi"), "ngram-part"))
     # signatures of the very same classes stand for one another
-    common = reduce(DataFrame.union, parts).groupBy("lo", "hi", "many", "low").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
+    common = reduce(DataFrame.union, parts).groupBy("lo", "hi", "many", "sum", "mix").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
     common = durable(common.select("sig", (F.col("many") * F.col("times")).alias("many")), "ngram-common")
     for part in parts:
         discard(part)

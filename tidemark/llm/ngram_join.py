@@ -235,8 +235,8 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
     # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
     turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
-    # two groups of classes count as the same by least, greatest, number, and 128 bits: a sum that cannot overflow and an exclusive or
-    same = [F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum"), F.bit_xor("cls").alias("mix")]
+    # groups of classes count as the same by least, greatest and number, a sum (of 24 bits: whole up to 2**39 rows) and an exclusive or
+    same = [F.sum(F.col("cls").bitwiseAND(F.lit(2**24 - 1))).alias("sum"), F.bit_xor("cls").alias("mix")]
     each = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls")
     parts = []
     for k in range(turns):

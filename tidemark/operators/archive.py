@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +34,8 @@ def write_once(rows: DataFrame, path: str, by: list[str]) -> None:
 def raw_scan(spark: SparkSession, path: str) -> DataFrame:
     """A1: the raw archive by its closed schema, with ``fault`` where a row breaks its own evidence.
 
-    Nothing is inferred, so the hash is compared with the stored one, offsets must rise within (producer, epoch) as
-    they were written, and identity and time columns must be there.
+    Nothing is inferred: the hash is compared with the stored one, and identity and time columns must be there. Whether offsets
+    rise is told by D4, which needs the rows in order.
     """
     rows = spark.read.schema(RAW_SCHEMA + ", event_family string, utc_date string").parquet(path)
     fault = (
@@ -58,7 +65,51 @@ def monthly_hourly(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = ", ".join(f"{c} string" for c in KLINE_COLUMNS) + ", extra string"
     rows = spark.read.schema(schema + ", symbol string, month string").option("mode", "PERMISSIVE").csv(path)
-    rows = rows.where(~(F.col("open_time").eqNullSafe(F.lit("open_time")) & F.col("open").eqNullSafe(F.lit("open")))).withColumn("file", F.col("_metadata.file_name"))
+    return judged_klines(rows.withColumn("file", F.col("_metadata.file_name")))
+
+
+def zipped_hourly(files: DataFrame) -> DataFrame:
+    """A4 for zipped months: files(path, content) as the binaryFile source reads <path>/symbol=<s>/month=<yyyy-mm>/<name>.zip.
+
+    A task unpacks a file line by line, nothing is written. A file holds one member, <name>.csv; any other has one row with
+    the reason ``archive-member``, a file that is no zip or fails its checksum one with ``archive-damaged`` behind what could be read.
+    The file's own SHA-256 takes the place of its name in the lineage.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                sha, name, fault, text = hashlib.sha256(content).hexdigest(), path.rsplit("/", 1)[-1].removesuffix(".zip"), None, []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                        if packed.namelist() != [f"{name}.csv"]:
+                            fault = "archive-member"
+                        else:
+                            with packed.open(f"{name}.csv") as member:
+                                for raw in member:
+                                    if line := raw.decode("utf-8", "replace").rstrip("\r\n"):
+                                        text.append(line)
+                                    if len(text) == 10_000:
+                                        yield written(path, sha, text, None)
+                                        text = []
+                except (zipfile.BadZipFile, EOFError, zlib.error):
+                    fault = "archive-damaged"
+                yield written(path, sha, [*text, *([None] if fault else [])], fault)
+
+    def written(path: str, sha: str, text: list, fault: str | None) -> pa.RecordBatch:
+        faults = [fault if line is None else None for line in text]
+        columns = [pa.array([x] * len(text), pa.string()) for x in (path, sha)] + [pa.array(text, pa.string()), pa.array(faults, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["path", "file", "line", "fault"])
+
+    rows = files.select("path", "content").mapInArrow(lines, "path string, file string, line string, fault string")
+    place = [F.regexp_extract("path", f"/{c}=([^/]+)/", 1).alias(c) for c in ("symbol", "month")]
+    parsed = F.from_csv("line", ", ".join(f"{c} string" for c in KLINE_COLUMNS) + ", extra string", {"mode": "PERMISSIVE"})
+    return judged_klines(rows.select(*place, "file", "fault", parsed.alias("r")).select("symbol", "month", "file", "fault", "r.*"))
+
+
+def judged_klines(rows: DataFrame) -> DataFrame:
+    """symbol, month, start_ns, close, row_sha256 and reason of kline rows in text with their file; header rows go."""
+    rows = rows.where(~(F.col("open_time").eqNullSafe(F.lit("open_time")) & F.col("open").eqNullSafe(F.lit("open"))))
     number = {c: F.col(c).try_cast("decimal(38,12)") for c in ("open", "high", "low", "close", "volume")}
     start, end, trades = F.col("open_time").try_cast("bigint"), F.col("close_time").try_cast("bigint"), F.col("count").try_cast("bigint")
     values = start.isNotNull() & end.isNotNull() & trades.isNotNull()
@@ -66,8 +117,8 @@ def monthly_hourly(spark: SparkSession, path: str) -> DataFrame:
         values &= c.isNotNull()
     sane = (number["low"] > 0) & (number["volume"] >= 0) & (trades >= 0) & (number["low"] <= F.least(number["open"], number["close"])) & (F.greatest(number["open"], number["close"]) <= number["high"])
     reason = (
-        F.when(F.col("ignore").isNull() | F.col("extra").isNotNull(), "row-width").when(~values, "row-value").when((start < 0) | (F.pmod(start, F.lit(3_600_000)) != 0) | (end != start + 3_599_999), "close-time")
-        .when(utc_month(start) != F.col("month"), "outside-month").when(~sane, "ohlc-or-volume")
+        F.coalesce(F.col("fault") if "fault" in rows.columns else F.lit(None).cast("string"), F.when(F.col("ignore").isNull() | F.col("extra").isNotNull(), "row-width").when(~values, "row-value").when((start < 0) | (F.pmod(start, F.lit(3_600_000)) != 0) | (end != start + 3_599_999), "close-time")
+        .when(utc_month(start) != F.col("month"), "outside-month").when(~sane, "ohlc-or-volume"))
     )
     lineage = F.sha2(F.concat_ws("|", "file", *[F.coalesce(F.col(c), F.lit("")) for c in KLINE_COLUMNS]), 256)
     return rows.select("symbol", "month", (start * 1_000_000).alias("start_ns"), number["close"].alias("close"), lineage.alias("row_sha256"), reason.alias("reason"))

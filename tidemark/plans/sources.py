@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import H, query, with_
 from tidemark.functions import expressions as X
 from tidemark.operators import archive, parsing
-from tidemark.sources.scratch import fresh
+from tidemark.sources.scratch import durable, fresh
 from tidemark.sources.views import BARS_SQL, TICKS_SQL, bars, table, ticks
 
 DAY = X.DAY_NS
@@ -64,10 +68,12 @@ def a2_raw_segments(spark: SparkSession, sf: str) -> DataFrame:
 KLINE_ROWS = f"""SELECT series AS symbol, strftime(make_timestamp(start_ns // 1000), '%Y-%m') AS month, start_ns, round("close", 2) AS c, {HOUR_SQL} AS h FROM bars"""
 
 
-@query(with_(BARS_SQL, f""", k AS ({KLINE_ROWS}), r AS (SELECT *, CASE h WHEN 1 THEN 'row-width' WHEN 2 THEN 'row-value' WHEN 3 THEN 'close-time' WHEN 4 THEN 'outside-month' WHEN 5 THEN 'ohlc-or-volume' END AS reason FROM k)
-SELECT symbol, month, coalesce(reason, 'kept') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN c END), 2) AS close_sum, count(*) AS n_lineage FROM r GROUP BY 1, 2, 3"""))
-def a4_monthly_archives(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly CSV files of all symbols, some with a header row, some rows broken by their hour."""
+A4_SQL = with_(BARS_SQL, f""", k AS ({KLINE_ROWS}), r AS (SELECT *, CASE h WHEN 1 THEN 'row-width' WHEN 2 THEN 'row-value' WHEN 3 THEN 'close-time' WHEN 4 THEN 'outside-month' WHEN 5 THEN 'ohlc-or-volume' END AS reason FROM k)
+SELECT symbol, month, coalesce(reason, 'kept') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN c END), 2) AS close_sum, count(*) AS n_lineage FROM r GROUP BY 1, 2, 3""")
+
+
+def kline_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """symbol, month and the 12 columns in text, some rows broken by their hour."""
     b = bars(spark, sf).withColumn("h", hour())
     start = F.expr("start_ns div 1000000")
     at = F.when(F.col("h") == 4, start + 40 * 86_400_000).otherwise(start)
@@ -75,13 +81,40 @@ def a4_monthly_archives(spark: SparkSession, sf: str) -> DataFrame:
         "open_time": at, "open": F.when(F.col("h") == 2, "x").otherwise(money(F.col("open"))), "high": F.when(F.col("h") == 5, "0.01").otherwise(money(F.col("high"))), "low": money(F.col("low")), "close": money(F.col("close")), "volume": F.col("n"),
         "close_time": F.when(F.col("h") == 3, at + 3_600_000).otherwise(at + 3_599_999), "quote_volume": F.lit("0"), "count": F.col("n"), "taker_buy_volume": F.lit("0"), "taker_buy_quote_volume": F.lit("0"), "ignore": F.when(F.col("h") != 1, "0"),
     }
-    path = fresh(spark, "monthly")
-    rows = b.select(F.col("series").alias("symbol"), archive.utc_month(start).alias("month"), *[c.cast("string").alias(n) for n, c in text.items()])
-    rows.repartition("symbol", "month").write.partitionBy("symbol", "month").option("header", "true").csv(path)
-    found = archive.monthly_hourly(spark, path)
+    return b.select(F.col("series").alias("symbol"), archive.utc_month(start).alias("month"), *[c.cast("string").alias(n) for n, c in text.items()])
+
+
+def archive_figures(found: DataFrame) -> DataFrame:
     return found.groupBy("symbol", "month", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("close"))).cast("double"), 2).alias("close_sum"), F.count_distinct("row_sha256").alias("n_lineage"))
 
 
+@query(A4_SQL)
+def a4_monthly_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly CSV files of all symbols, some with a header row, some rows broken by their hour."""
+    path = fresh(spark, "monthly")
+    kline_rows(spark, sf).repartition("symbol", "month").write.partitionBy("symbol", "month").option("header", "true").csv(path)
+    return archive_figures(archive.monthly_hourly(spark, path))
+
+
+@query(A4_SQL)
+def a4_zipped_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """The same months as zip files, a month of hours each, in the columns of the binaryFile source."""
+    rows = kline_rows(spark, sf)
+    names = [c for c in rows.columns if c not in ("symbol", "month")]
+
+    def packed(key: tuple, part: pa.Table) -> pa.Table:
+        symbol, month = (k.as_py() for k in key)
+        text = ",".join(names) + "\n" + "".join(",".join("" if x is None else x for x in r) + "\n" for r in zip(*(part.column(n).to_pylist() for n in names), strict=True))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+            file.writestr(f"{symbol}-1h-{month}.csv", text)
+        return pa.table({"path": [f"/symbol={symbol}/month={month}/{symbol}-1h-{month}.zip"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    files = durable(rows.groupBy("symbol", "month").applyInArrow(packed, "path string, content binary"), "zipped")
+    return archive_figures(archive.zipped_hourly(files))
+
+
+
 @query(with_(BARS_SQL, f""", p AS (SELECT series, start_ns, "close", start_ns // {DAY} AS page FROM bars UNION ALL SELECT series, start_ns, CASE WHEN NOT finalized THEN "close" + 1 ELSE "close" END, start_ns // {DAY} - 1 FROM bars WHERE start_ns % {DAY} < {6 * H})
 SELECT series AS symbol, start_ns // 1000000 AS start_ms, CAST(CAST(min("close") AS DECIMAL(18, 2)) AS VARCHAR) AS "close", count(*) AS n_pages, count(DISTINCT "close") > 1 AS conflict FROM p GROUP BY 1, 2"""))
 def a5_page_lists(spark: SparkSession, sf: str) -> DataFrame:

@@ -164,6 +164,10 @@ QUANTILES = {"q025": (0.025, -0.9), "q10": (0.1, -0.5), "q50": (0.5, 0.0), "q90"
 FIVE_SQL = PROB_SQL + ", five AS (SELECT *, 0.1 * tanh(prediction) - 0.9 AS x025, 0.1 * tanh(prediction) - 0.5 AS x10, 0.1 * tanh(prediction) AS x50, 0.1 * tanh(prediction) + 0.5 AS x90, 0.1 * tanh(prediction) + 0.9 AS x975 FROM q)"
 
 
+def five_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return probabilities(spark, sf).withColumns({f"x{n[1:]}": 0.1 * F.tanh("prediction") + shift for n, (_, shift) in QUANTILES.items()})
+
+
 def pinball_sql(q: float, c: str) -> str:
     return f"round(avg(greatest({q} * (target - {c}), {q - 1} * (target - {c}))), 8)"
 
@@ -172,7 +176,7 @@ def pinball_sql(q: float, c: str) -> str:
 round(avg(CAST(target BETWEEN x10 AND x90 AS INTEGER)), 8) AS coverage_80, round(avg(CAST(target BETWEEN x025 AND x975 AS INTEGER)), 8) AS coverage_95, round(avg(x90 - x10), 8) AS width_80, round(avg(x975 - x025), 8) AS width_95 FROM five GROUP BY 1"""))
 def e5_five_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Pinball losses of five quantiles, coverage and width of the 80 and 95 % bands."""
-    rows = probabilities(spark, sf).withColumns({f"x{n[1:]}": 0.1 * F.tanh("prediction") + shift for n, (_, shift) in QUANTILES.items()})
+    rows = five_quantiles(spark, sf)
     return contracts.band_scores(rows, ["series"], {f"x{n[1:]}": q for n, (q, _) in QUANTILES.items()}, {"80": ("x10", "x90"), "95": ("x025", "x975")})
 
 

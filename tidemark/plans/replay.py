@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,6 +12,7 @@ from tidemark.catalog import ORIGIN_SQL, PROB_SQL, RET_SQL, SPLITS, T0, H, proba
 from tidemark.functions import expressions as X
 from tidemark.operators import derive, replay, scores
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.plans.contracts import FIVE_SQL, five_quantiles
 from tidemark.sources.scratch import durable, fresh
 from tidemark.sources.views import BARS_SQL, bars
 
@@ -230,16 +231,33 @@ def j15_j16_skill(spark: SparkSession, sf: str) -> DataFrame:
 smp AS (SELECT asset, draw, sum(covered) / sum(n) AS c FROM draws JOIN dl ON day >= a AND day < a + take GROUP BY 1, 2)
 SELECT asset, round(any_value(w.coverage), 8) AS coverage, round(quantile_cont(c, 0.025), 8) AS lower, round(quantile_cont(c, 0.975), 8) AS upper, abs(any_value(w.coverage) - 0.8) <= 0.05 AS tolerance_met FROM smp JOIN (SELECT asset, sum(covered) / sum(n) AS coverage FROM dl GROUP BY 1) w USING (asset) GROUP BY 1"""))
 def j18_coverage_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    q = probabilities(spark, sf).select(F.col("series").alias("asset"), F.expr(f"start_ns div {DAY}").alias("d"), F.col("target").between(F.col("q10"), F.col("q90")).cast("bigint").alias("covered"))
+    return coverage_of(spark, probabilities(spark, sf), F.col("target").between(F.col("q10"), F.col("q90")), 0.8)
+
+
+def coverage_of(spark: SparkSession, rows: DataFrame, inside: Column, nominal: float) -> DataFrame:
+    """J18 of one band: coverage of each asset over all days, its interval from the shared draws, tolerance of 0.05."""
+    q = rows.select(F.col("series").alias("asset"), F.expr(f"start_ns div {DAY}").alias("d"), inside.cast("bigint").alias("covered"))
     first, days = q.agg(F.coalesce(F.min("d"), F.lit(0)), F.coalesce(F.max("d") - F.min("d") + 1, F.lit(1))).first()
     sums = q.groupBy("asset", (F.col("d") - F.lit(first)).alias("day")).agg(F.count("*").alias("n"), F.sum("covered").alias("covered"))
     grid = sums.select("asset").distinct().withColumn("day", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(days - 1).cast("bigint"))))
     daily = grid.join(sums, ["asset", "day"], "left").na.fill(0, ["n", "covered"])
     drawn = replay.resampled(daily, scores.draws(spark, days, BLOCK), ["asset"], ["covered", "n"])
-    out = replay.coverage_intervals(drawn, daily, 0.8, 0.05)
+    out = replay.coverage_intervals(drawn, daily, nominal, 0.05)
     return out.select("asset", *[F.round(c, 8).alias(c) for c in ("coverage", "lower", "upper")], "tolerance_met")
 
 
+@query(with_(BARS_SQL, FIVE_SQL + f""", lim AS (SELECT min(start_ns // {DAY}) AS d0 FROM five), b(band, nominal) AS (VALUES ('80', 0.8), ('95', 0.95)),
+dl AS (SELECT series AS asset, band, any_value(nominal) AS nominal, start_ns // {DAY} - d0 AS day, count(*) AS n, count(*) FILTER (WHERE CASE band WHEN '80' THEN target BETWEEN x10 AND x90 ELSE target BETWEEN x025 AND x975 END) AS covered FROM five CROSS JOIN lim CROSS JOIN b GROUP BY 1, 2, 4)""" + DRAW_SQL + """,
+smp AS (SELECT asset, band, draw, sum(covered) / sum(n) AS c FROM draws JOIN dl ON day >= a AND day < a + take GROUP BY 1, 2, 3)
+SELECT asset, band, round(any_value(w.coverage), 8) AS coverage, round(quantile_cont(c, 0.025), 8) AS lower, round(quantile_cont(c, 0.975), 8) AS upper, abs(any_value(w.coverage) - any_value(w.nominal)) <= 0.05 AS tolerance_met
+FROM smp JOIN (SELECT asset, band, any_value(nominal) AS nominal, sum(covered) / sum(n) AS coverage FROM dl GROUP BY 1, 2) w USING (asset, band) GROUP BY 1, 2"""))
+def j18_coverage_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """The 80 and the 95 % band of five quantiles, from the same draws."""
+    rows = five_quantiles(spark, sf)
+    one, two = (coverage_of(spark, rows, F.col("target").between(F.col(lo), F.col(hi)), nominal).withColumn("band", F.lit(band)) for band, nominal, lo, hi in (("80", 0.8, "x10", "x90"), ("95", 0.95, "x025", "x975")))
+    return one.union(two)
+
+
 @query(with_(BARS_SQL, RET_SQL + f""" SELECT series, CAST(2 AS BIGINT) AS algorithms, count(*) AS cases, series <> 'view' AS same FROM p GROUP BY 1"""))
 def j19_pair_identity(spark: SparkSession, sf: str) -> DataFrame:
     """Two models' cases by series: the second has another case of one hour of views."""

@@ -46,7 +46,6 @@ def test_stages_take_any_rows(spark, stage):
     out = run(spark, docs, DATA)
     if stage != "sentence_pieces":
         assert out.columns == docs.columns
-        assert all(tuple(r[c] for c in (f"`{n}`" for n in ())) == () for r in out.limit(1).collect())
         got = out.collect()
         assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in got)
         one = sorted(((r.doc_id, r.text) for r in run(spark, plain, DATA).collect()), key=str)

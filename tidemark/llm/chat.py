@@ -8,7 +8,8 @@ null turns first), and adjacent turns of one role form one block:
 Inside roles and texts each backslash is doubled and a backslash goes behind the first character of each
 control string, so none is left there and unescaping gives the text back. A line feed in a role becomes
 <|nl|>. Null roles and texts count as empty. The loss mask is a list of half-open code point ranges of the
-formatted string: the assistant's texts. A null conv_id is one conversation.
+formatted string: the assistant's texts. A null conv_id is one conversation. Repeated rows are turns of their own, long texts are
+taken whole, an empty table gives an empty one, and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

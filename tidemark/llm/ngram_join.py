@@ -11,8 +11,8 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
    no n-gram of a set and so no signature; there are ``spare`` fragments more than D for that, and a set with more
    empty ones has signatures by a second order as well, and so on: a pair is found by the first order in which one
    of the two has few enough.
-2. Stars. Signatures of one class only go; of those with the same classes (equal number, least and greatest class
-   and sum of 40 low bits) one is kept. Around each of these, classes are compared with a single leader, the
+2. Stars. Signatures of one class only go; of those with the same classes (equal number, least and greatest class,
+   sum of 24 low bits and exclusive or) one is kept. Around each of these, classes are compared with a single leader, the
    class that shares most signatures: copies of one text hang on the copy with the fewest edits. Links make components.
 3. Rest. Classes that share a signature but lie in different components are compared too, so no link is lost; what
    their parities rule out (they differ in at most D places) goes within the join, what longer sketches of parities
@@ -21,7 +21,8 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
 Rows with a null id, without words or without text link with nothing (a null id has a null component).
-Rows that repeat an id are judged each by its own text and share the component. Other columns are not looked at.
+Rows that repeat an id are judged each by its own text and share the component. Other columns are not looked at,
+whatever their names. Long texts are taken whole, an empty table gives an empty one. Leaders with equal weight: the greater class.
 Hashes have 64 bits; the chance that two different sets share a class is (number of sets)**2 / 2**65.
 """
 

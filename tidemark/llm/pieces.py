@@ -6,7 +6,8 @@ array of symbols. In a round each word's best pair rank is a segmented minimum,
 occurrences merge at once, and the array is compacted; words without a pair leave. Where a merge gives a new
 pair that is as good as the merged one or better, one merge at a time is due: such words (runs of
 blanks, whose pieces all tie) go to an agenda. What is left becomes piece ids, or UTF-8 bytes
-where the vocabulary has no piece. Null texts count as empty. No word or text is cut short.
+where the vocabulary has no piece. Null texts count as empty. No word or text is cut short. Pieces of equal rank merge from
+the left. Other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ from the hosts of blocked pages against them (who links to bad hosts is suspect)
 that are the share of a host's pages that rules allow or block. A page without a rule is blocked if its host's
 distrust exceeds ``threshold`` times its trust. Hosts on no path from a seed have neither and are allowed.
 
-Null urls and urls without ``://`` have an empty host and path and are allowed; the empty host is no node.
+Null urls and urls without ``://`` have an empty host and path and are allowed; the empty host is no node. Each row is a page,
+also repeated ones, whose links count again. Pages are searched whole; an empty table gives an empty one. A host whose
+distrust equals ``threshold`` times its trust is allowed. Other columns than page_id, url and html are not read.
 """
 
 from __future__ import annotations

@@ -46,7 +46,11 @@ def overlapping(spans: DataFrame, claims: DataFrame, unit: int = HOUR_NS) -> Dat
 
 def coverage_status(spans: DataFrame, claims: DataFrame) -> DataFrame:
     """H5: the worst unresolved status of overlapping claims, else complete if complete claims tile the span, else unknown."""
-    both = overlapping(spans, claims)
+    return status_of(spans, overlapping(spans, claims))
+
+
+def status_of(spans: DataFrame, both: DataFrame) -> DataFrame:
+    """H5 from the pairs that overlap, of whatever join found them."""
     by = W.partitionBy("series", "span_start", "span_end").orderBy("claim_start", "claim_end").rowsBetween(W.unboundedPreceding, -1)
     reach = F.coalesce(F.max("claim_end").over(by), F.col("span_start"))
     rows = both.withColumn("_hole", F.col("claim_start") > reach)

@@ -236,6 +236,17 @@ def test_language_evidence_decides(spark):
         assert want[page][0][0] == sorted(texts)[j // 3]
 
 
+def test_a_language_of_three_words_takes_no_strange_pages(spark):
+    """Text unlike all training text goes to no tiny language, whose own words are still known; rare languages are sampled."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "text")
+    docs = docs.union(spark.createDataFrame([(10**9, "zz", "quolvex brimtaz yondrel")], docs.schema))
+    strange = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である"]
+    texts = [*strange, "brimtaz quolvex yondrel quolvex yondrel brimtaz"]
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", f"<html><body>{t}</body></html>") for i, t in enumerate(texts)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.lang for r in language.identified(pages, docs, train_docs=400).collect()}
+    assert "zz" not in [got[i] for i in range(len(strange))] and got[len(strange)] == "zz"
+
+
 def test_many_languages(spark):
     """More labels than one block of tables holds."""
     rng = random.Random(2)

@@ -3,7 +3,8 @@
 Evidence on a page: its text, the language its markup declares, the suffix of its address, its host.
 
 * Text: a naive Bayes model over hashed byte trigrams of lower-cased words, trained here on labelled documents. It
-  may use a bounded sample (``train_docs``, by a hash of the id); the page's mean log likelihood per trigram is
+  may use a bounded sample (about ``train_docs`` in equal parts by language, by a hash of the id; a language with fewer
+  gives all it has), and each language is mixed with the distribution over all; the page's mean log likelihood per trigram is
   scaled by at most ``most_evidence`` trigrams, as neighbours are not independent.
 * Markup and suffix: P(declared | language), P(suffix | language), from grouped counts over all pages by their
   language by text alone, with additive smoothing.
@@ -32,6 +33,8 @@ from tidemark.llm.url_filters import host_and_path
 BINS = 1 << 15
 #: Languages whose tables travel together: 8 MB.
 BLOCK = 64
+#: Weight of the distribution over all languages in that of each.
+POOLED = 0.3
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -53,14 +56,24 @@ def trained(documents: DataFrame, train_docs: int) -> tuple[list[str], list[np.n
     languages = sorted(found)
     if not languages:
         return ["und"], [np.zeros((1, BINS), np.float32)]
-    step = max(1, -(-sum(found.values()) // train_docs))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    tables = []
+    quota = max(1, train_docs // len(languages))
+    counts = []
     for first in range(0, len(languages), BLOCK):
         block = languages[first : first + BLOCK]
-        place = F.array_position(F.array(*map(F.lit, block)), F.col("lang")) - 1
-        tables.append(counted(sample.where(F.col("lang").isin(block)).select(place.cast("int").alias("place"), "text"), len(block)))
-    return languages, tables
+        place = (F.array_position(F.array(*map(F.lit, block)), F.col("lang")) - 1).cast("int")
+        steps = F.array(*[F.lit(max(1, -(-found[name] // quota))) for name in block])
+        sample = rows.where(F.col("lang").isin(block)).select("doc_id", place.alias("place"), "text").where(F.pmod(F.xxhash64("doc_id"), F.get(steps, F.col("place"))) == 0)
+        counts.append(counted(sample.select("place", "text"), len(block)))
+    pooled = np.sum([c.sum(axis=0) for c in counts], axis=0) + 0.5
+    return languages, [smoothed(c, pooled / pooled.sum()) for c in counts]
+
+
+def smoothed(counts: np.ndarray, pooled: np.ndarray) -> np.ndarray:
+    """log P(trigram | language): own shares and the pooled ones, with the same weight for each language, so a trigram that
+    a language has never had is as unlikely in a small one as in a large one. A language without trigrams is the pool."""
+    total = counts.sum(axis=1, keepdims=True)
+    own = np.where(total > 0, counts / np.maximum(total, 1), pooled)
+    return np.log((1 - POOLED) * own + POOLED * pooled).astype(np.float32)
 
 
 def counted(rows: DataFrame, n: int) -> np.ndarray:
@@ -76,8 +89,7 @@ def counted(rows: DataFrame, n: int) -> np.ndarray:
     counts = np.zeros((n, BINS), np.int64)
     for row in summed(parts, tasks).toLocalIterator():
         counts[row.block] = np.frombuffer(row.counts, np.int64)
-    smooth = counts + 0.5
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    return counts
 
 
 def visible(html: Column) -> Column:

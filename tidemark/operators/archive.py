@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import HOUR_NS, canonical_decimal, utc_date
+from tidemark.operators.scan import BLOCK_OFFSETS, neighbours
 
 #: The closed schema of a raw envelope archive: names and types are fixed.
 RAW_SCHEMA = (
@@ -35,7 +36,7 @@ def raw_scan(spark: SparkSession, path: str) -> DataFrame:
     """A1: the raw archive by its closed schema, with ``fault`` where a row breaks its own evidence.
 
     Nothing is inferred: the hash is compared with the stored one, and identity and time columns must be there. Whether offsets
-    rise is told by D4, which needs the rows in order.
+    rise as written is told by ``written_order``.
     """
     rows = spark.read.schema(RAW_SCHEMA + ", event_family string, utc_date string").parquet(path)
     fault = (
@@ -46,6 +47,18 @@ def raw_scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("fault", fault)
 
 
+def written_order(rows: DataFrame, keys: list[str], span: int = BLOCK_OFFSETS) -> DataFrame:
+    """A1: of each segment the rows whose offset is not above that of the row before them in their file, as they lie there.
+
+    rows come straight from a Parquet scan, which tells each row's file and place; a row without an offset is out of order, and
+    the row behind it has nothing to be compared with. Files are read in blocks of places, so one long file is no one task.
+    """
+    at = rows.select(*keys, "offset", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    at = neighbours(at, ["_file"], "_place", span, {"_before": "offset"})
+    bad = F.col("offset").isNull() | F.coalesce(F.col("offset") <= F.col("_before"), F.lit(False))
+    return at.groupBy(*keys).agg(F.count("*").alias("records"), F.count_distinct("_file").alias("files"), F.count_if(bad).alias("disordered"))
+
+
 def audited(rows: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
     """Rows and offsets of each segment against its manifest (keys, records, first_offset, last_offset)."""
     seen = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("offset").alias("_lo"), F.max("offset").alias("_hi"), F.count_distinct("offset").alias("_d"), F.count("fault").alias("faults"))

@@ -57,6 +57,16 @@ def a1_archive_audit(spark: SparkSession, sf: str) -> DataFrame:
     return archive.audited(raw_archive(spark, sf), manifest, ["event_family", "utc_date"])
 
 
+@query(with_(TICKS_SQL, """, r AS (SELECT series, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') AS utc_date, count(*) AS n FROM ticks GROUP BY 1, 2)
+SELECT series AS event_family, utc_date, n AS records, CAST(1 AS BIGINT) AS files, CASE WHEN series = 'error' THEN n - 1 ELSE 0 END AS disordered FROM r"""))
+def a1_archive_order(spark: SparkSession, sf: str) -> DataFrame:
+    """One file a segment, written by rising offsets; those of errors lie the wrong way round, so all but their first row are told."""
+    keys, path = ["event_family", "utc_date"], fresh(spark, "raw-archive")
+    place = F.when(F.col("event_family") == "error", -F.col("offset")).otherwise(F.col("offset"))
+    archive.write_once(envelopes(spark, sf).repartition(*keys).sortWithinPartitions(*keys, place), path, keys)
+    return archive.written_order(archive.raw_scan(spark, path), keys)
+
+
 @query(with_(TICKS_SQL, """ SELECT series AS event_family, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') AS utc_date, 'feed' AS source, count(*) AS records, min(off) AS first_offset, max(off) AS last_offset,
 CAST(sum(strlen(CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR)) + 12 + CASE WHEN series = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS payload_bytes FROM ticks GROUP BY 1, 2"""))
 def a2_raw_segments(spark: SparkSession, sf: str) -> DataFrame:

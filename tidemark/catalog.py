@@ -654,4 +654,4 @@ def l4_chain_breaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the rest registers itself
-from tidemark.plans import contracts, forecasts, live, market, replay, sources, streams  # noqa: E402, F401
+from tidemark.plans import contracts, forecasts, grids, live, market, replay, sources, streams  # noqa: E402, F401

@@ -52,6 +52,19 @@ def policy(rows: DataFrame, finalized_only: bool, time_quality: str, coverage: s
     return rows.withColumn("reason", reason)
 
 
+def policies(rows: DataFrame, modes: list[tuple[bool, str, str]]) -> DataFrame:
+    """rows(finalized, healthy, status) under each of modes (finalized_only, time_quality, coverage), in one scan.
+
+    Reasons are those of ``policy``; what a require mode finds is ``stops:`` and its name, and stops nothing here.
+    """
+    wanted = F.array(*[F.struct(F.lit(f).alias("finalized_only"), F.lit(t).alias("time_quality"), F.lit(c).alias("coverage")) for f, t, c in modes])
+    rows = rows.withColumn("_mode", F.explode(wanted)).select(*rows.columns, "_mode.*")
+    reason = F.when(F.col("finalized_only") & ~F.col("finalized"), "not-finalized")
+    for mode, bad, name in (("time_quality", ~F.col("healthy"), "time-quality"), ("coverage", F.col("status") != "complete", "coverage")):
+        reason = reason.when((F.col(mode) == "exclude") & bad, name).when((F.col(mode) == "require") & bad, f"stops:{name}")
+    return rows.withColumn("reason", reason)
+
+
 def violations(rows: DataFrame, keys: list[str], interval: int = HOUR_NS) -> DataFrame:
     """How many rows of the dataset form break each rule, in one pass; a row may break several.
 

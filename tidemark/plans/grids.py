@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.catalog import CLAIMS, ORIGIN_SQL, SPLITS, T0, H, claims_of, query, with_
 from tidemark.functions import expressions as X
 from tidemark.operators import contracts, grids
-from tidemark.plans.replay import LATE, SPLIT_VALUES, TRAIN
 from tidemark.sources.scratch import fresh
 from tidemark.sources.views import BARS_SQL, bars
 
@@ -18,6 +17,8 @@ GRID_VALUES = ", ".join(f"({h}, {c}, {k})" for h, c, k in GRID)
 EMBARGOED = [(n, a, b, 0 if n == "train" else 24 * H) for n, a, b in SPLITS]
 EMBARGO_VALUES = ", ".join(f"('{n}', {a}, {b}, {e})" for n, a, b, e in EMBARGOED)
 LOOKBACK_HOURS = 12
+TRAIN, LATE = SPLITS[0], 60_000_000_000
+SPLIT_VALUES = ", ".join(f"('{n}', {a}, {b})" for n, a, b in SPLITS)
 
 
 @query(f"WITH RECURSIVE {BARS_SQL}" + ORIGIN_SQL + f""", c AS (SELECT e.series, e.first_start, s.*, g.*, unnest(range((s.lo + g.cadence * {H} - 1) // (g.cadence * {H}) * (g.cadence * {H}), s.hi, g.cadence * {H})) AS origin_ns

@@ -34,7 +34,7 @@ def same(spark, place, con, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["a4_monthly_archives"])
+@pytest.mark.parametrize("name", ["a4_monthly_archives", "a4_zipped_archives"])
 def test_prices_of_zero(spark, ticks_of, name):
     """A candle with a low of 0, one of zeros alone, and a broken one of a cent, whose high of 0.01 would be sane."""
     place, con = ticks_of([(0, 5), (0, 0), (0, 7.25), (6, 0), (5, 0.01), (7, 3.5)])

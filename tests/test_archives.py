@@ -46,3 +46,9 @@ def test_archives_refuse_a_low_of_zero(spark):
     row = {"open_time": "1704153600000", "open": "5", "high": "5", "low": "0", "close": "5", "volume": "1", "close_time": "1704157199999", "quote_volume": "0", "count": "1", "taker_buy_volume": "0", "taker_buy_quote_volume": "0", "ignore": "0"}
     rows = spark.range(1).select(F.lit("a").alias("symbol"), F.lit("2024-01").alias("month"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("extra"), *[F.lit(v).alias(c) for c, v in row.items()])
     assert [r.reason for r in archive.judged_klines(rows).collect()] == ["ohlc-or-volume"]
+
+
+def test_least_page_by_value(spark, ticks_of):
+    """An open candle at 9.91 stands at 10.91 in the later copy, which is less as a text only."""
+    place, con = ticks_of([(1, 9.91)] * 7 + [(2, 9.5)])
+    assert {r[2:] for r in same(spark, place, con, "a5_page_lists")} == {("9.91", 2, True), ("9.50", 2, False)}

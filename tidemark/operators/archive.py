@@ -143,13 +143,15 @@ def utc_month(ms: Column) -> Column:
 
 def page_candles(pages: DataFrame, start_ms: Column, before_ms: Column) -> DataFrame:
     """A5: pages(page, body: JSON with result.symbol and result.list of 7 texts, newest first) flattened, clipped to
-    [start, before) and merged: one candle a key with the pages that hold it; unequal repeats are a conflict."""
+    [start, before) and merged: one candle a key with the pages that hold it; unequal repeats are a conflict, of which the
+    one whose values are least as numbers stands (by its texts where they are equal, what is no number first)."""
     shape = "struct<result:struct<symbol:string,list:array<array<string>>>>"
     rows = pages.withColumn("d", F.from_json("body", shape)).select("page", F.col("d.result.symbol").alias("symbol"), F.explode("d.result.list").alias("row"))
     rows = rows.where(F.size("row") == 7).withColumn("start_ms", F.get("row", F.lit(0)).try_cast("bigint"))
     rows = rows.where((F.col("start_ms") >= start_ms) & (F.col("start_ms") < before_ms))
     text = F.array_join("row", ",")
-    out = rows.groupBy("symbol", "start_ms").agg(F.min("row").alias("row"), F.count("*").alias("n_pages"), (F.min(text) != F.max(text)).alias("conflict"))
+    value = F.struct(F.transform("row", lambda x: x.try_cast("decimal(38,18)")), "row")
+    out = rows.groupBy("symbol", "start_ms").agg(F.min_by("row", value).alias("row"), F.count("*").alias("n_pages"), (F.min(text) != F.max(text)).alias("conflict"))
     return out.select("symbol", "start_ms", F.get("row", F.lit(4)).alias("close"), "n_pages", "conflict")
 
 

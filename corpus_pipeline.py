@@ -42,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids for each row; a null or empty text has the end id alone."""
-    return pieces.encoded(docs, pieces.model_path(), decoded=False)
+    """doc_id, n_tokens, ids and the text decoded from them for each row; a null or empty text has the end id alone."""
+    return pieces.encoded(docs, pieces.model_path())
 
 
 STAGES = [

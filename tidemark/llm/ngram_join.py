@@ -15,8 +15,8 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
    sum of 24 low bits and exclusive or) one is kept. Around each of these, classes are compared with a single leader, the
    class that shares most signatures: copies of one text hang on the copy with the fewest edits. Links make components.
 3. Rest. Classes that share a signature but lie in different components are compared too, so no link is lost; what
-   their parities rule out (they differ in at most D places) goes within the join, what longer sketches of parities
-   rule out right behind it.
+   their parities, short and long, rule out (they differ in at most D places) goes within the join, so a signature of
+   very many unlinked classes gives no rows for all their pairs.
 
 A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
@@ -219,6 +219,28 @@ def alike(percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= F.col("na") + F.col("nb") - 2 * due(percent))
 
 
+def second_parities() -> list[Column]:
+    return [F.col(p).alias(f"{p}_2") for p in PARITY]
+
+
+def sketched(percent: int) -> Column:
+    """The longer sketches of the sides na, sketch and nb, sketch_2 allow the threshold."""
+    differ = F.aggregate(F.zip_with("sketch", "sketch_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ <= F.col("na") + F.col("nb") - 2 * due(percent)
+
+
+def across(apart: DataFrame, percent: int) -> DataFrame:
+    """a, na, b, nb: the pairs of apart(sig, cls, n, component, parities, sketch) that share a signature, once for each, in
+    different components.
+
+    Both kinds of sketches are judged within the join, so it gives pairs near the threshold only and not all that a
+    frequent signature brings together; adaptive execution can split it.
+    """
+    one = apart.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), "component", *PARITY, "sketch")
+    two = apart.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("component2"), *second_parities(), F.col("sketch").alias("sketch_2"))
+    return one.join(two, (one["sig"] == two["sig"]) & (F.col("component") < F.col("component2")) & alike(percent) & sketched(percent)).select("a", "na", "b", "nb")
+
+
 def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, firsts, groups) of docs(doc_id, text[, row_key]), all durable.
 
@@ -255,14 +277,18 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     sketches = durable(known.where("sketch is not null").select("cls", "sketch"), "ngram-sketches")
     discard(scan)
 
+    def drawn(classes: DataFrame) -> DataFrame:
+        """cls, sketch of the classes (one column) and of few others: only these leave the place where they lie."""
+        table = spark.sparkContext.broadcast(bit_table(durable(classes.distinct(), "ngram-ends")))
+
+        @F.arrow_udf("boolean")
+        def may(cls: pa.Array) -> pa.Array:
+            return pa.array(table.value.has(cls.to_numpy(zero_copy_only=False)))
+
+        return durable(sketches.where(may("cls")).dropDuplicates(["cls"]), "ngram-drawn")
+
     def compared(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs (a, na, b, nb): those that the longer sketches allow, by their sets from the texts."""
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        drawn = durable(sketches.join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-drawn")
-        both = pairs.join(drawn.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(drawn.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
-        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = durable(both.where(differ <= F.col("na") + F.col("nb") - 2 * due(percent)).select("a", "na", "b", "nb"), "ngram-pairs")
-        discard(drawn)
+        """The links among the durable pairs (a, na, b, nb), by their sets from the texts."""
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         ids = durable(firsts.join(ends, "cls").select("doc_id"), "ngram-wanted")
         wanted = spark.sparkContext.broadcast(bit_table(ids))
@@ -274,23 +300,26 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     weight = shared.groupBy("cls").agg(F.sum("many").alias("weight"))
     leader = shared.join(weight, "cls").groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("weight", "cls")).alias("x"))
     stars = shared.join(leader.select("sig", F.col("x.cls").alias("b"), F.col("x.n").alias("nb")), "sig").where("cls <> b").select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    marks = [F.col(p).alias(f"{p}_2") for p in PARITY]
-    stars = stars.join(firsts.select(F.col("cls").alias("a"), *PARITY), "a").join(firsts.select(F.col("cls").alias("b"), *marks), "b")
+    stars = stars.join(firsts.select(F.col("cls").alias("a"), *PARITY), "a").join(firsts.select(F.col("cls").alias("b"), *second_parities()), "b")
     stars = durable(stars.where(alike(percent)).select("a", "na", "b", "nb"), "ngram-stars")
-    links = compared(stars)
+    long = drawn(stars.select("a").union(stars.select("b")))
+    near = stars.join(long.select(F.col("cls").alias("a"), "sketch"), "a").join(long.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_2")), "b")
+    links = compared(durable(near.where(sketched(percent)).select("a", "na", "b", "nb"), "ngram-pairs"))
+    discard(long)
     groups = durable(components(links).withColumnRenamed("node", "cls"), "ngram-groups")
     discard(links)
 
     # what shares a signature across components
     placed = shared.select("sig", "cls", "n").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    apart = placed.join(apart, "sig").join(firsts.select("cls", *PARITY), "cls")
-    apart = durable(apart.select("sig", "cls", "n", "component", *PARITY), "ngram-apart")
-    one = apart.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), "component", *PARITY)
-    two = apart.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("component2"), *marks)
-    met = one.join(two, (one["sig"] == two["sig"]) & (F.col("component") < F.col("component2")) & alike(percent)).select("a", "na", "b", "nb").distinct()
+    apart = durable(placed.join(apart, "sig"), "ngram-placed")
+    long = drawn(apart.select("cls"))
+    discard(sketches)
+    apart = apart.join(firsts.select("cls", *PARITY), "cls").join(long, "cls").select("sig", "cls", "n", "component", *PARITY, "sketch")
+    met = across(apart, percent).distinct()
     turned = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
     rest = durable(met.join(stars.select("a", "b").union(turned), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "ngram-rest")
+    discard(long)
     more = compared(rest)
     return rows, firsts, regrouped(groups, more)
 

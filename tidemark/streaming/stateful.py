@@ -61,12 +61,15 @@ def sequence_gaps(rows: DataFrame) -> DataFrame:
 
 
 def published(stream: DataFrame, transform, label: str) -> DataFrame:
-    """Each micro-batch transformed and written below its own number, which a repeated batch overwrites: once in effect."""
+    """Each micro-batch transformed and written below its own number, which a repeated batch overwrites: once in effect.
+
+    A batch may be one file of one row group, so its rows are dealt over all cores before the transformation.
+    """
     spark = stream.sparkSession
-    home = fresh(spark, label)
+    home, tasks = fresh(spark, label), 2 * spark.sparkContext.defaultParallelism
 
     def publish(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+        transform(batch.repartition(tasks)).write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
 
     run = stream.writeStream.foreachBatch(publish).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -1,8 +1,13 @@
 """Groups of classes that share a frequent signature."""
 
+import time
+from pathlib import Path
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_join
+from tidemark.llm.shared import SHUFFLES_GO, durable
 
 
 def test_frequent_signature_gives_no_pairs(spark):
@@ -13,3 +18,31 @@ def test_frequent_signature_gives_no_pairs(spark):
     rows = [(7, i, len(s), i, *ngram_join.parities(s).tolist(), ngram_join.parities(s, ngram_join.SKETCH).tolist()) for i, s in enumerate(sets)]
     apart = spark.createDataFrame(rows, "sig bigint, cls bigint, n bigint, component bigint, " + ", ".join(f"{p} bigint" for p in ngram_join.PARITY) + ", sketch array<bigint>")
     assert [(r.a, r.b) for r in ngram_join.across(apart, 80).collect()] == [(0, 400)]
+
+
+def test_sketches_are_shuffled_once(spark):
+    """Both sides of the join across components read the same shuffle."""
+    rows = [(i // 3, i, 5, i, *[0] * len(ngram_join.PARITY), [0] * (ngram_join.SKETCH // 64)) for i in range(30)]
+    apart = durable(spark.createDataFrame(rows, "sig bigint, cls bigint, n bigint, component bigint, " + ", ".join(f"{p} bigint" for p in ngram_join.PARITY) + ", sketch array<bigint>"), "apart")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = ngram_join.across(apart, 80)
+        assert pairs.count() == 30
+        pairs.collect()
+        assert pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ReusedExchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A durable table leaves no shuffle files behind, and the session's own setting comes back."""
+    have = lambda: {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before, setting = have(), spark.conf.get(SHUFFLES_GO, None)
+    groups = durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "groups")
+    for _ in range(50):  # removal is told to the block managers and not waited for
+        if not (left := have() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SHUFFLES_GO, None) == setting
+    assert len(groups.collect()) == 7

@@ -208,25 +208,25 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int) -> D
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def due(percent: int) -> Column:
-    """The overlap that sets of na and nb n-grams must reach."""
-    return F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+def spare_grams(percent: int, na: str, nb: str) -> Column:
+    """The most n-grams in which linked sets of na and nb n-grams differ."""
+    return F.expr(f"{na} + {nb} - 2 * (({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent})")
 
 
-def alike(percent: int) -> Column:
-    """Sizes and parities of the sides na, p0.. and nb, p0_2.. allow the threshold."""
-    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_2"))) for p in PARITY), F.lit(0))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= F.col("na") + F.col("nb") - 2 * due(percent))
+def alike(percent: int, na: str = "na", nb: str = "nb", one: str = "{}", two: str = "{}_2") -> Column:
+    """Sizes and parities of the sides na, p0.. and nb, p0_2.. (as ``one`` and ``two`` name them) allow the threshold."""
+    differ = sum((F.bit_count(F.col(one.format(p)).bitwiseXOR(F.col(two.format(p)))) for p in PARITY), F.lit(0))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= spare_grams(percent, na, nb))
 
 
 def second_parities() -> list[Column]:
     return [F.col(p).alias(f"{p}_2") for p in PARITY]
 
 
-def sketched(percent: int) -> Column:
+def sketched(percent: int, na: str = "na", nb: str = "nb", one: str = "{}", two: str = "{}_2") -> Column:
     """The longer sketches of the sides na, sketch and nb, sketch_2 allow the threshold."""
-    differ = F.aggregate(F.zip_with("sketch", "sketch_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differ <= F.col("na") + F.col("nb") - 2 * due(percent)
+    differ = F.aggregate(F.zip_with(one.format("sketch"), two.format("sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ <= spare_grams(percent, na, nb)
 
 
 def across(apart: DataFrame, percent: int) -> DataFrame:
@@ -234,11 +234,12 @@ def across(apart: DataFrame, percent: int) -> DataFrame:
     different components.
 
     Both kinds of sketches are judged within the join, so it gives pairs near the threshold only and not all that a
-    frequent signature brings together; adaptive execution can split it.
+    frequent signature brings together; adaptive execution can split it. Both sides have the same columns under the same names,
+    so Spark shuffles them, sketches and all, once.
     """
-    one = apart.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), "component", *PARITY, "sketch")
-    two = apart.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("component2"), *second_parities(), F.col("sketch").alias("sketch_2"))
-    return one.join(two, (one["sig"] == two["sig"]) & (F.col("component") < F.col("component2")) & alike(percent) & sketched(percent)).select("a", "na", "b", "nb")
+    sides = ("x.n", "y.n", "x.{}", "y.{}")
+    met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & alike(percent, *sides) & sketched(percent, *sides)
+    return apart.alias("x").join(apart.alias("y"), met).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
 
 
 def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:

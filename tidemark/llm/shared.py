@@ -52,10 +52,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's own setting for a query's shuffle files to go when it has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they go with its end and not when the driver's memory is tidied:
+    steps that follow one another take the disk of the largest, not of all.
+    """
+    path, conf = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(SHUFFLES_GO)
+        else:
+            conf.set(SHUFFLES_GO, before)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._scratch_path = path
     return again

@@ -46,3 +46,18 @@ def test_shuffle_files_go_with_the_write(spark):
         time.sleep(0.1)
     assert not left and spark.conf.get(SHUFFLES_GO, None) == setting
     assert len(groups.collect()) == 7
+
+
+def test_wide_sketches_tell_large_sets_apart(spark):
+    """Unlike sets of 7,000 n-grams pass the long parities but not the wide ones; near copies pass, also with other widths."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: np.unique(rng.integers(0, 2**63, n, np.uint64))
+    large, small = fresh(7000), fresh(2000)
+    pairs = [(large, fresh(7000)), (large, np.sort(np.append(large[600:], fresh(600)))), (fresh(4090), None), (small, np.append(small, fresh(100)))]
+    pairs[2] = (pairs[2][0], np.append(pairs[2][0], fresh(300)))
+    listed = lambda x: None if x is None else x.tolist()
+    rows = [(i, len(a), len(b), *(f(s).tolist() for s in (a, b) for f in [lambda s: ngram_join.parities(s, ngram_join.SKETCH)]), *(listed(ngram_join.wide_parities(s)) for s in (a, b))) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, na bigint, nb bigint, sketch array<bigint>, sketch_2 array<bigint>, wide array<bigint>, wide_2 array<bigint>")
+    assert [len(r.wide or []) - len(r.wide_2 or []) for r in df.orderBy("i").collect()] == [0, 0, -64, -64]
+    assert sorted(r.i for r in df.where(ngram_join.sketched(80)).collect()) == [0, 1, 2, 3]
+    assert sorted(r.i for r in df.where(ngram_join.sketched(80) & ngram_join.widely(80)).collect()) == [1, 2, 3]

@@ -18,7 +18,8 @@ any cut divides into fragments of even mass. Equal sets form one class, and clas
    their parities, short and long, rule out (they differ in at most D places) goes within the join, so a signature of
    very many unlinked classes gives no rows for all their pairs.
 
-A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
+Pairs of sets too large for the long parities are judged by wide ones, of as many bits as the sets have n-grams, before they
+are compared, so that few unlinked sets leave their texts. A comparison joins the two sets fragment by fragment, counts the partial overlaps and sums them per pair.
 
 Rows with a null id, without words or without text link with nothing (a null id has a null component).
 Rows that repeat an id are judged each by its own text and share the component. Other columns are not looked at,
@@ -42,7 +43,7 @@ from tidemark.llm.shared import bit_table, bounded_batches, components, discard,
 
 #: Words of 64 parity bits for each set: two sets differ in as many n-grams at least as in parities.
 PARITY = [f"p{k}" for k in range(4)]
-#: Bits of the longer sketch of parities, which tells larger sets apart.
+#: Bits of the longer sketch of parities, which tells larger sets apart; sets of more n-grams have a wide one, too.
 SKETCH = 2048
 #: Mixed into the hashes to get the next global order.
 NEXT_ORDER = np.uint64(0xD6E8FEB86659FD93)
@@ -50,6 +51,8 @@ NEXT_ORDER = np.uint64(0xD6E8FEB86659FD93)
 REMEMBERED = 100_000
 #: Signatures that a task holds at a time while it groups them.
 TABLE_ROWS = 500_000
+#: Signatures go to disk in so many turns at least, if there are TURN_ROWS for each: a turn's shuffle is a small part of all.
+TURNS, TURN_ROWS = 12, 500_000
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -70,6 +73,11 @@ def parities(hashes: np.ndarray, size: int = 64 * len(PARITY)) -> np.ndarray:
     return np.packbits(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
+def wide_parities(hashes: np.ndarray) -> np.ndarray | None:
+    """Parities in as many bits as there are n-grams (the next power of two); null where SKETCH bits are as many."""
+    return parities(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > SKETCH else None
+
+
 def fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
     """The fragment of the global order in which each n-gram lies."""
     return np.minimum((hashes.astype(np.float64) * (fragments / 2.0**64)).astype(np.int64), fragments - 1)
@@ -128,13 +136,13 @@ class Signatures:
 
 
 def scanned(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n, cls, parities, sigs and sketch of docs(doc_id, row_key, text); the last two are null where the task
-    has given the class's already."""
+    """doc_id, row_key, n, cls, parities, sigs, sketch and wide sketch of docs(doc_id, row_key, text); the last three are null
+    where the task has given the class's already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, seen = Signatures(percent), set()
         for batch in batches:
-            sizes, classes, odd, sigs, sketches = [], [], [], [], []
+            sizes, classes, odd, sigs, sketches, wide = [], [], [], [], [], []
             for text, there in zip(texts_of(batch), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 s = shingle_set(text, n)
                 cls = set_class(s) if len(s) else None
@@ -144,16 +152,18 @@ def scanned(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if cls is None or not there or cls in seen:
                     sigs.append(None)
                     sketches.append(None)
+                    wide.append(None)
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(cls)
                 sigs.append(signatures.of(s))
                 sketches.append(parities(s, SKETCH))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(len(sizes), len(PARITY)).T), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
+                wide.append(wide_parities(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(x) for x in np.array(odd, np.int64).reshape(len(sizes), len(PARITY)).T), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names)
 
-    names = ["doc_id", "row_key", "n", "cls", *PARITY, "sigs", "sketch"]
-    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, cls bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", sigs array<bigint>, sketch array<bigint>")
+    names = ["doc_id", "row_key", "n", "cls", *PARITY, "sigs", "sketch", "wide"]
+    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, cls bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", sigs array<bigint>, sketch array<bigint>, wide array<bigint>")
 
 
 def signature_rows(scan: DataFrame, table) -> DataFrame:
@@ -229,6 +239,21 @@ def sketched(percent: int, na: str = "na", nb: str = "nb", one: str = "{}", two:
     return differ <= spare_grams(percent, na, nb)
 
 
+def widely(percent: int) -> Column:
+    """The wide sketches of the sides na, wide and nb, wide_2 allow the threshold; true if one has none.
+
+    Of linked sets the one has at most twice the bits of the other, and a sketch's halves xored are the sketch of half its bits.
+    """
+    words = F.least(F.size("wide"), F.size("wide_2"))
+
+    def folded(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, F.lit(1), words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > words, halves).otherwise(F.col(name))
+
+    differ = F.aggregate(F.zip_with(folded("wide"), folded("wide_2"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.col("wide").isNotNull() & F.col("wide_2").isNotNull(), differ <= spare_grams(percent, "na", "nb")).otherwise(F.lit(True))
+
+
 def across(apart: DataFrame, percent: int) -> DataFrame:
     """a, na, b, nb: the pairs of apart(sig, cls, n, component, parities, sketch) that share a signature, once for each, in
     different components.
@@ -258,7 +283,7 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     known = scan.where("doc_id is not null and cls is not null")
     firsts = durable(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "ngram-firsts")
     # signatures are grouped before the shuffle, by residues so that no task's table of them grows beyond TABLE_ROWS
-    turns = -(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)) or 1
+    turns = max(-(-seen.get["sigs"] // (((seen.get["last"] or 0) + 1) * TABLE_ROWS)), min(TURNS, seen.get["sigs"] // TURN_ROWS)) or 1
     # groups of classes count as the same by least, greatest and number, a sum (of 24 bits: whole up to 2**39 rows) and an exclusive or
     same = [F.sum(F.col("cls").bitwiseAND(F.lit(2**24 - 1))).alias("sum"), F.bit_xor("cls").alias("mix")]
     each = known.where("sigs is not null").select(F.explode("sigs").alias("sig"), "cls")
@@ -275,11 +300,11 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     shared = durable(signature_rows(known, table).join(common, "sig").distinct(), "ngram-shared")
     table.destroy()
     rows = durable(scan.select("doc_id", "row_key", "n", "cls"), "ngram-rows")
-    sketches = durable(known.where("sketch is not null").select("cls", "sketch"), "ngram-sketches")
+    sketches = durable(known.where("sketch is not null").select("cls", "sketch", "wide"), "ngram-sketches")
     discard(scan)
 
     def drawn(classes: DataFrame) -> DataFrame:
-        """cls, sketch of the classes (one column) and of few others: only these leave the place where they lie."""
+        """cls, sketch, wide of the classes (one column) and of few others: only these leave the place where they lie."""
         table = spark.sparkContext.broadcast(bit_table(durable(classes.distinct(), "ngram-ends")))
 
         @F.arrow_udf("boolean")
@@ -289,7 +314,11 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
         return durable(sketches.where(may("cls")).dropDuplicates(["cls"]), "ngram-drawn")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """The links among the durable pairs (a, na, b, nb), by their sets from the texts."""
+        """The links among the durable pairs (a, na, b, nb), by their sets from the texts, of those that the sketches allow."""
+        long = drawn(pairs.select("a").union(pairs.select("b")))
+        near = pairs.join(long.select(F.col("cls").alias("a"), "sketch", "wide"), "a").join(long.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_2"), F.col("wide").alias("wide_2")), "b")
+        pairs = durable(near.where(sketched(percent) & widely(percent)).select("a", "na", "b", "nb"), "ngram-pairs")
+        discard(long)
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         ids = durable(firsts.join(ends, "cls").select("doc_id"), "ngram-wanted")
         wanted = spark.sparkContext.broadcast(bit_table(ids))
@@ -303,10 +332,7 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     stars = shared.join(leader.select("sig", F.col("x.cls").alias("b"), F.col("x.n").alias("nb")), "sig").where("cls <> b").select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
     stars = stars.join(firsts.select(F.col("cls").alias("a"), *PARITY), "a").join(firsts.select(F.col("cls").alias("b"), *second_parities()), "b")
     stars = durable(stars.where(alike(percent)).select("a", "na", "b", "nb"), "ngram-stars")
-    long = drawn(stars.select("a").union(stars.select("b")))
-    near = stars.join(long.select(F.col("cls").alias("a"), "sketch"), "a").join(long.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_2")), "b")
-    links = compared(durable(near.where(sketched(percent)).select("a", "na", "b", "nb"), "ngram-pairs"))
-    discard(long)
+    links = compared(stars)
     groups = durable(components(links).withColumnRenamed("node", "cls"), "ngram-groups")
     discard(links)
 
@@ -315,13 +341,13 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 16)
     apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
     apart = durable(placed.join(apart, "sig"), "ngram-placed")
     long = drawn(apart.select("cls"))
-    discard(sketches)
-    apart = apart.join(firsts.select("cls", *PARITY), "cls").join(long, "cls").select("sig", "cls", "n", "component", *PARITY, "sketch")
+    apart = apart.join(firsts.select("cls", *PARITY), "cls").join(long.drop("wide"), "cls").select("sig", "cls", "n", "component", *PARITY, "sketch")
     met = across(apart, percent).distinct()
     turned = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
     rest = durable(met.join(stars.select("a", "b").union(turned), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "ngram-rest")
     discard(long)
     more = compared(rest)
+    discard(sketches)
     return rows, firsts, regrouped(groups, more)
 
 
